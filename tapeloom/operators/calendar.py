@@ -103,6 +103,18 @@ class Calendar:
             f"{prefix}verified": F.col(h)["verified"],
         }).drop(h, start, on)
 
+    def trading_at(self, df: DataFrame, instant: str, cls: str = "class") -> DataFrame:
+        """Add ``trading``: the class trades at the instant (unknown: any class does)."""
+        def inside(c: str) -> str:
+            h = self._gated(c, "_day")
+            return f"coalesce(_sec >= {h}.open AND _sec < {h}.close, false)"
+
+        each = " ".join(f"WHEN '{c}' THEN {inside(c)}" for c in self.class_names())
+        anyone = " OR ".join(inside(c) for c in self.class_names())
+        on = df.withColumn("_day", tehran.trading_day(F.col(instant)))
+        on = on.withColumn("_sec", (F.unix_micros(instant) - F.unix_micros(tehran.day_start(F.col("_day")))) / 1e6)
+        return on.withColumn("trading", F.expr(f"CASE {cls} {each} WHEN '{UNKNOWN}' THEN {anyone} ELSE false END")).drop("_day", "_sec")
+
     def opens(self, df: DataFrame, day: str = "day") -> DataFrame:
         """Add the sorted distinct class opens of a day (empty when closed)."""
         rows = ", ".join(f"{self._gated(c, day)}.open" for c in self.class_names())
