@@ -120,3 +120,84 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instrument -> class map of the event stream (one row per instrument)."""
     keys = table(spark, sf_dir, "events").select(instrument_key().alias("k")).distinct()
     return keys.filter(F.col("k") % 7 != 6).select(ins_code(F.col("k")).alias("ins_code"), class_of_key(F.col("k")).alias("class"))
+
+
+# --- vendor payloads from the part table -----------------------------------------------------------
+
+_PREFIXES = ["IRO1", "IRO3", "IRO7", "IRR1", "IRB3", "IRTK", "IRE9", "IRT1", "IRXX"]
+_FUNDS = ["صندوق سهام", "صندوق درآمد ثابت", "صندوق املاک", "صندوق آلفا-د"]
+_COMMODITY = ["صندوق نقره", "صندوق زعفران", "صندوق طلا"]
+
+
+def _pick(values: list[str], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity and totals each part shows as an instrument."""
+    pk = F.col("pk")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), "p_name", F.col("p_size").cast("bigint").alias("size"))
+    rows = rows.withColumns({"price": F.col("size") * 1000 + pk % 97, "vol": pk % 13 * 1000,
+                             "base": F.when(pk % 31 == 0, F.col("p_name")).otherwise(F.concat("p_name", pk.cast("string")))})
+    board = F.when(pk % 37 == 0, "0002").otherwise("0001")
+    name = (F.when(pk % 9 == 7, _pick(_FUNDS, pk % 4)).when(pk % 9 == 5, _pick(_COMMODITY, pk % 3))
+            .otherwise(F.concat(F.lit("شرکت"), pk.cast("string"))))
+    return rows.withColumns({
+        "isin": F.concat(_pick(_PREFIXES, pk % 9), F.lpad((pk % 10000).cast("string"), 4, "0"), board),
+        "sector": F.when(pk % 9 == 7, 68).when(pk % 9 == 4, 69).otherwise(pk % 60).cast("bigint"), "title": name,
+        "ib": F.expr("vol div 5") * (pk % 5), "isell": F.expr("vol div 4") * (pk % 4), "value": F.col("vol") * F.col("price")})
+
+
+def _str(c: Column) -> Column:
+    return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+
+
+def _num(c: Column) -> Column:
+    return c.cast("string")
+
+
+def _payloads(rows: DataFrame, cells: dict[str, Column], per_payload: int = 100) -> DataFrame:
+    """JSON arrays of at most ``per_payload`` objects: (payload_no, ingest_time, payload)."""
+    body = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in cells.items()])
+    objs = rows.select("pk", F.concat(F.lit("{"), body, F.lit("}")).alias("obj"), F.expr(f"pk div {per_payload}").alias("payload_no"))
+    arrays = objs.groupBy("payload_no").agg(F.sort_array(F.collect_list(F.struct("pk", "obj"))).alias("o"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("o", lambda x: x["obj"]), ","), F.lit("]"))
+    return arrays.select("payload_no", F.timestamp_seconds(1_704_096_000 + F.col("payload_no")).alias("ingest_time"), text.alias("payload"))
+
+
+def payloads_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pk = F.col("pk")
+    price, vol = F.col("price"), F.col("vol")
+    time = F.concat(F.lpad((9 + pk % 4).cast("string"), 2, "0"), F.lit(":"), F.lpad((pk % 60).cast("string"), 2, "0"), F.lit(":00"))
+    cells = {
+        "id": _num(1_000_000 + pk - F.when(pk % 29 == 0, 1).otherwise(0)), "l18": _str(F.concat(F.lit("کی"), "base")), "l30": _str(F.col("title")),
+        "isin": _str(F.col("isin")), "cs_id": _num(F.col("sector")), "pl": F.when(pk % 61 == 0, "1").otherwise(_num(price)), "pc": _num(price),
+        "py": _num(price - 5), "tmin": F.when(pk % 45 == 0, "1").otherwise(_num(price - 100)),
+        "tmax": F.when(pk % 47 == 0, "999999999").otherwise(_num(price + 100)), "tno": _num(pk % 50), "tvol": _num(vol), "tval": _num(F.col("value")),
+        "Buy_I_Volume": _num(F.col("ib")), "Buy_N_Volume": _num(vol - F.col("ib") + F.when(pk % 27 == 0, 7).otherwise(0)),
+        "Sell_I_Volume": _num(F.col("isell")), "Sell_N_Volume": F.when(pk % 33 == 0, "null").otherwise(_num(vol - F.col("isell"))),
+        "time": _str(time), "base_volume": _num(pk % 7)}
+    return _payloads(_parts(spark, sf_dir), cells)
+
+
+def payloads_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pk = F.col("pk")
+    price, vol = F.col("price"), F.col("vol")
+    arabic = F.translate(F.col("title"), "ی", "ي")
+    title = F.when((pk % 9 == 7) & (pk % 10 == 3), F.lit("صندوق")).otherwise(arabic)
+    volume = vol + F.when(pk % 59 == 0, 1000).otherwise(0)
+    separated = F.when(volume == 0, "0").otherwise(F.concat((volume / 1000).cast("bigint").cast("string"), F.lit(",000")))
+    date = F.concat(F.lit("1403/"), (1 + pk % 12).cast("string"), F.lit("/"), (1 + pk % 29).cast("string"))
+    cells = {
+        "instance_code": F.when(pk % 23 == 0, '""').otherwise(_str(1_000_000 + pk)), "name": _str(F.concat(F.lit("كي "), "base")),
+        "full_name": _str(title), "namad_code": _str(F.col("isin")), "industry_code": _str(F.lpad(F.col("sector").cast("string"), 4, "0")),
+        "close_price": _str(price + F.when(pk % 17 == 0, 1).otherwise(0)),
+        "final_price": F.when(pk % 41 == 0, '"n/a"').otherwise(_str(F.concat(price.cast("string"), F.lit(".00")))),
+        "yesterday_price": F.when(pk % 43 == 0, '"۱۲"').otherwise(_str(price - 5)),
+        "daily_price_low": _str(F.concat((price - 100).cast("string"), F.lit(".00"))),
+        "daily_price_high": _str(F.concat((price + 100).cast("string"), F.when(pk % 53 == 0, ".50").otherwise(".00"))),
+        "trade_number": F.when(pk % 19 == 0, '""').otherwise(_str(pk % 50)), "trade_volume": _str(separated), "trade_value": _str(F.col("value")),
+        "real_buy_volume": _str(F.col("ib")), "co_buy_volume": _str(vol - F.col("ib")), "real_sell_volume": _str(F.col("isell")),
+        "co_sell_volume": _str(vol - F.col("isell")), "last_trade_date": _str(date),
+        "last_trade_time": _str(F.concat((9 + pk % 4).cast("string"), F.lit(":05:00"))), "state": F.when(pk % 3 == 0, '"A"').otherwise("null")}
+    return _payloads(_parts(spark, sf_dir).filter(pk % 11 != 0), cells)
