@@ -33,14 +33,18 @@ def not_future(p: Params = DEFAULT) -> Column:
     return F.unix_micros("source_time") <= F.unix_micros("ingest_time") + p.future_guard * 1_000_000
 
 
-def day_rolls(snaps: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def day_rolls(snaps: DataFrame, p: Params = DEFAULT, begun: DataFrame | None = None) -> DataFrame:
     """Arrival ranges of the market-wide trading day: (day, roll_seq, next_seq, last_seq).
 
     A day begins at its first plausible row, if it is later than every day begun before. One row per
-    trading day of the data.
+    trading day of the data. ``begun`` holds the day already current before these snapshots.
     """
     firsts = snaps.groupBy(tehran.trading_day(F.col("source_time")).alias("day")).agg(
         F.min(F.when(not_future(p), F.col("seq"))).alias("roll_seq"), F.max("seq").alias("max_seq"))
+    if begun is not None:
+        before = F.lit(-1).cast("bigint")
+        firsts = firsts.join(begun.select("day"), "day", "left_anti").unionByName(
+            begun.select("day", before.alias("roll_seq"), before.alias("max_seq")))
     by_arrival = W.orderBy(F.col("roll_seq").asc_nulls_last(), "day")
     everything = W.partitionBy(F.lit(1))
     ranked = firsts.withColumns({
@@ -57,8 +61,12 @@ def seen_totals(snaps: DataFrame, rolls: DataFrame, p: Params = DEFAULT) -> Data
         "ins_code", "seq", "volume", "value", "trade_count", tehran.trading_day(F.col("source_time")).alias("day"))
     current = shown.join(rolls.select("day", "next_seq"), "day").filter(
         F.col("next_seq").isNull() | (F.col("seq") < F.col("next_seq")))
+    return newest_totals(current)
+
+
+def newest_totals(rows: DataFrame) -> DataFrame:
     last = F.max(F.struct("seq", "volume", "value", "trade_count")).alias("t")
-    return current.groupBy("ins_code", "day").agg(last).select("ins_code", "day", "t.volume", "t.value", "t.trade_count")
+    return rows.groupBy("ins_code", "day").agg(last).select("ins_code", "day", "t.*")
 
 
 def carried_totals(seen: DataFrame, keep_days: int) -> DataFrame:
@@ -77,12 +85,12 @@ def prev_day_reference(snaps: DataFrame, p: Params = DEFAULT, rolls: DataFrame |
                        initial: DataFrame | None = None) -> DataFrame:
     """(ins_code, day) -> the instrument's last totals of earlier days, for every day the market rolled to.
 
-    ``initial`` (ins_code, day, volume, value, trade_count) is a reference kept from an earlier run.
+    ``initial`` (ins_code, day, seq, volume, value, trade_count) holds totals seen in an earlier run.
     """
     rolls = stage(day_rolls(snaps, p), "rolls") if rolls is None else rolls
     seen = seen_totals(snaps, rolls, p)
     if initial is not None:
-        seen = seen.unionByName(initial.select("ins_code", "day", "volume", "value", "trade_count"))
+        seen = newest_totals(seen.unionByName(initial))
     seen = stage(seen, "seen")
     handed = carried_totals(seen, p.keep_days)
     last = F.least(F.coalesce("next_day", F.date_add("day", p.keep_days)), F.date_add("day", p.keep_days))
@@ -129,29 +137,34 @@ def _flags(df: DataFrame) -> DataFrame:
             .withColumn("ref_day", F.col("ref.ref_day")).drop("ref", "refs"))
 
 
-def accept(snaps: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT,
-           initial: DataFrame | None = None, reference: DataFrame | None = None) -> DataFrame:
+def accept(snaps: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT, initial: DataFrame | None = None,
+           held: DataFrame | None = None, begun: DataFrame | None = None) -> DataFrame:
     """Classify every snapshot and pair it with the accepted row before it.
 
     Adds day, session bounds, ``prev`` (struct of the last accepted row), the differences ``d_*`` and
     ``outcome``: incomplete, earlier_day, carryover, day_baseline, out_of_order, rebaseline or interval.
+
+    To continue an earlier run, ``held`` brings each instrument's last accepted row, ``begun`` the day
+    current then, and ``initial`` the totals seen (see ``prev_day_reference``).
     """
-    rolls = stage(day_rolls(snaps, p), "rolls")
-    if reference is None:
-        reference = prev_day_reference(snaps, p, rolls, initial)
-    cut = snaps.select(*ENGINE_COLUMNS).withColumns({
-        "chunk": chunk_of(F.col("seq"), p.chunk_rows), "day": tehran.trading_day(F.col("source_time"))})
+    rolls = stage(day_rolls(snaps, p, begun), "rolls")
+    reference = prev_day_reference(snaps, p, rolls, initial)
+    rows = snaps.select(*ENGINE_COLUMNS, F.lit(False).alias("held"))
+    if held is not None:
+        rows = rows.unionByName(held.select(*ENGINE_COLUMNS, F.lit(True).alias("held")))
+    cut = rows.withColumns({"chunk": chunk_of(F.col("seq"), p.chunk_rows), "day": tehran.trading_day(F.col("source_time"))})
     refs = stage(_references_by_chunk(cut, rolls, reference, p), "refs")
 
     def flagged(info: DataFrame) -> DataFrame:
         return _flags(calendar.with_session(cut.join(info, ["ins_code", "chunk"], "left"), F.col("day")))
 
-    usable = F.when(F.col("eligible") & F.col("carry").isNull(),
+    usable = F.when((F.col("eligible") & F.col("carry").isNull()) | F.col("held"),
                     F.struct(F.col("source_time"), (-F.col("seq")).alias("before"), *PREV_COLUMNS))
     prefix = [Prefix("prev", usable, "max", inclusive=False)]
     totals = chunk_totals(flagged(refs), ["ins_code"], prefix)
-    info = refs.join(carried_in(totals, ["ins_code"], prefix), ["ins_code", "chunk"], "left")
-    return _outcome(within_chunk(flagged(info), ["ins_code"], prefix).drop("chunk"))
+    info = carried_in(totals, ["ins_code"], prefix).join(refs, ["ins_code", "chunk"], "left")
+    out = within_chunk(flagged(info), ["ins_code"], prefix).drop("chunk")
+    return _outcome(out.filter(~F.col("held")).drop("held"))
 
 
 def _outcome(df: DataFrame) -> DataFrame:

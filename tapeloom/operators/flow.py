@@ -128,32 +128,54 @@ def day_totals(accepted: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.col("last.volume").alias("volume"), *NETS, (late | F.col("rb").isNotNull()).alias("partial"))
 
 
-def running_day_totals(accepted: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Every published state of the day totals. Reads ``accepted`` twice."""
+def day_progress(accepted: DataFrame, p: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
+    """Every baseline, interval and re-baseline with the day totals after it and whether they are published.
+
+    ``state`` (see ``day_state``) continues the totals of an earlier run. Reads ``accepted`` twice.
+    """
     rebase = F.col("outcome") == "rebaseline"
 
     def flag(cond: Column) -> Column:
         return F.when(cond, 1).otherwise(0)
 
-    prefixes = [Prefix(f"t_{n}", F.col(n), "sum") for n in NETS] + [
-        Prefix("late_so_far", flag(F.col("late"))), Prefix("rb_so_far", flag(rebase)),
-        Prefix("trade_before", flag(traded()), inclusive=False), Prefix("rb_before", flag(rebase), inclusive=False),
-        Prefix("rb_volume_before", flag(rebase & (F.col("volume") != 0)), inclusive=False)]
-    keep = ["seq", "ins_code", "symbol", "class", "day", "outcome", "late", "source_time", "volume", "d_volume", "prev.volume", *NETS]
     rows = with_nets(baselines_and_later(accepted), p).select(
-        *[F.col(c).alias("prev_volume") if c == "prev.volume" else F.col(c) for c in keep])
+        "seq", "ins_code", "symbol", "class", "day", "source_time", "volume", F.col("prev.volume").alias("prev_volume"), *NETS,
+        flag(F.col("late")).alias("f_late"), flag(rebase).alias("f_rb"), flag(traded()).alias("f_trade"),
+        flag(rebase & (F.col("volume") != 0)).alias("f_rb_volume"), F.lit(False).alias("kept"))
+    if state is not None:
+        rows = rows.unionByName(state.withColumn("kept", F.lit(True)))
+    prefixes = [Prefix(f"t_{n}", F.col(n), "sum") for n in NETS] + [
+        Prefix("late_so_far", F.col("f_late")), Prefix("rb_so_far", F.col("f_rb")), Prefix("rb_volume_so_far", F.col("f_rb_volume")),
+        Prefix("trade_so_far", F.col("f_trade")), Prefix("rb_before", F.col("f_rb"), inclusive=False),
+        Prefix("trade_before", F.col("f_trade"), inclusive=False), Prefix("rb_volume_before", F.col("f_rb_volume"), inclusive=False)]
     out = running(rows, ["ins_code", "day"], prefixes, p.chunk_rows)
 
     def on(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)) == 1
 
-    late = on("late_so_far")
+    late, is_rb = on("late_so_far"), F.col("f_rb") == 1
     published_before = on("trade_before") | (late & on("rb_volume_before")) | (~late & on("rb_before"))
     moved = F.when(published_before, F.col("volume") != F.col("prev_volume")).otherwise(F.col("volume") != 0)
-    emit = traded() | (rebase & (~(late | on("rb_before")) | moved))
-    return out.filter(emit).select(
-        "seq", "ins_code", "symbol", "class", "day", F.col("source_time").alias("as_of"), "volume",
-        *[F.col(f"t_{n}").alias(n) for n in NETS], (late | on("rb_so_far")).alias("partial"))
+    emit = (F.col("f_trade") == 1) | (is_rb & (~(late | on("rb_before")) | moved))
+    return out.filter(~F.col("kept")).withColumns({"published": emit, "partial": late | on("rb_so_far")})
+
+
+def day_state(progress: DataFrame) -> DataFrame:
+    """Last row of each instrument, in the form ``day_progress`` continues from."""
+    cols = {"f_late": "late_so_far", "f_rb": "rb_so_far", "f_trade": "trade_so_far", "f_rb_volume": "rb_volume_so_far", **{n: f"t_{n}" for n in NETS}}
+    keep = ["symbol", "class", "day", "source_time", "volume", "prev_volume"]
+    last = F.max(F.struct("seq", *keep, *[F.col(src).alias(n) for n, src in cols.items()])).alias("l")
+    return progress.groupBy("ins_code").agg(last).select("ins_code", "l.*")
+
+
+def running_day_totals(accepted: DataFrame, p: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
+    """Every published state of the day totals."""
+    return published_totals(day_progress(accepted, p, state))
+
+
+def published_totals(progress: DataFrame) -> DataFrame:
+    return progress.filter("published").select(
+        "seq", "ins_code", "symbol", "class", "day", F.col("source_time").alias("as_of"), "volume", *[F.col(f"t_{n}").alias(n) for n in NETS], "partial")
 
 
 def _window_rows(accepted: DataFrame, p: Params) -> DataFrame:
@@ -180,15 +202,43 @@ def ten_minutes(accepted: DataFrame, p: Params = DEFAULT) -> DataFrame:
         (F.col("first.gap") | F.coalesce(F.col("broken") < F.col("last.seq"), F.lit(False))).alias("partial"))
 
 
-def running_10m(accepted: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Every published state of every 10-minute window. Reads ``accepted`` twice."""
+def window_progress(accepted: DataFrame, p: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
+    """Every row of a window with the window's state after it; ``state`` continues an earlier run."""
     usable = F.col("usable")
+    rows = _window_rows(accepted, p).withColumn("kept", F.lit(False))
+    if state is not None:
+        rows = rows.unionByName(state.withColumn("kept", F.lit(True)))
     prefixes = [
         Prefix("net_so_far", F.when(usable, F.col("net_hot")), "sum"),
         Prefix("first", F.when(usable, F.struct("seq", "price_before", "gap")), "min"),
-        Prefix("broken", F.when(usable, 0).otherwise(1), "max", inclusive=False)]
-    out = running(_window_rows(accepted, p), ["ins_code", "day", "window_start"], prefixes, p.chunk_rows)
-    return out.filter(usable).select(
+        Prefix("broken", F.when(usable, 0).otherwise(1), "max", inclusive=False),
+        Prefix("broken_now", F.when(usable, 0).otherwise(1), "max")]
+    out = running(rows, ["ins_code", "day", "window_start"], prefixes, p.chunk_rows)
+    return out.filter(~F.col("kept"))
+
+
+def window_state(progress: DataFrame) -> DataFrame:
+    """What the latest window of each instrument hands on: its open state, and whether it is already partial."""
+    broken = F.coalesce(F.col("broken_now"), F.lit(0)) == 1
+    last = F.max(F.struct("seq", "class", "day", "window_start", "price_last", "source_time", "net_so_far", "first", broken.alias("broken"))).alias("l")
+    rows = progress.groupBy("ins_code").agg(last).select("ins_code", "l.*")
+    common = ["ins_code", "class", "day", "window_start", "price_last", "source_time"]
+    open_state = rows.filter(F.col("first").isNotNull()).select(
+        "seq", *common, F.lit(True).alias("usable"), F.col("net_so_far").alias("net_hot"), F.col("first.price_before").alias("price_before"),
+        F.col("first.gap").alias("gap"))
+    marks = rows.filter("broken").select(
+        (F.col("seq") - 1).alias("seq"), *common, F.lit(False).alias("usable"), F.lit(0).cast("bigint").alias("net_hot"),
+        F.lit(None).cast("bigint").alias("price_before"), F.lit(False).alias("gap"))
+    return open_state.unionByName(marks)
+
+
+def running_10m(accepted: DataFrame, p: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
+    """Every published state of every 10-minute window. Reads ``accepted`` twice."""
+    return published_windows(window_progress(accepted, p, state))
+
+
+def published_windows(progress: DataFrame) -> DataFrame:
+    return progress.filter("usable").select(
         "seq", "ins_code", "class", "day", "window_start", F.col("net_so_far").alias("net_hot"),
         F.col("first.price_before").alias("price_open"), "price_last",
         (F.col("first.gap") | (F.coalesce(F.col("broken"), F.lit(0)) == 1)).alias("partial"))

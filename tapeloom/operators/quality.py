@@ -90,11 +90,11 @@ def all_occurrences(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR,
     return rows.select("seq", "ins_code", F.col("ingest_time").alias("at"), F.inline(F.array_compact(F.array(*_row_issues(p)))))
 
 
-def once_per_day(occurrences: DataFrame, codes: list[str] = ONCE_PER_DAY) -> DataFrame:
+def once_per_day(occurrences: DataFrame, codes: list[str] = ONCE_PER_DAY, keep_day: bool = False) -> DataFrame:
     """First occurrence per instrument, code and day. A minimum per group, so hot groups combine map-side."""
     first = F.min(F.struct("seq", "at", "detail")).alias("f")
     return (occurrences.filter(F.col("code").isin(codes)).groupBy("ins_code", "code", "once_on").agg(first)
-            .select("f.seq", "ins_code", "code", "f.detail", "f.at"))
+            .select("f.seq", "ins_code", "code", "f.detail", "f.at", *(["once_on"] if keep_day else [])))
 
 
 def issues(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT) -> DataFrame:

@@ -41,7 +41,7 @@ def _block_length(alpha: float) -> int:
     return max(1024, math.ceil(math.log(1e-20) / math.log1p(-alpha)))
 
 
-def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None) -> DataFrame:
+def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Add ``n``, ``<feature>_mean`` and ``<feature>_var``: the baseline before each observation.
 
     An exponentially weighted mean and second moment are weighted sums, so no row-by-row fold is needed.
@@ -49,16 +49,22 @@ def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None) ->
     inside a block the sums are window sums with growing weights (at most 1e20), and the block before
     it (with a trace of the one before that) gives the starting state. Values are centred on the block
     average, so that the variance does not suffer from cancellation.
+
+    ``initial`` (see ``ewma_after``) is the baseline an earlier run ended with.
     """
     a = p.alpha
     keep = 1.0 - a
     block = block or _block_length(a)
     one = F.lit(1).cast("bigint")
-    rows = running(obs, ["ins_code"], [Prefix("n", one, "sum", inclusive=False)], p.chunk_rows)
-    rows = rows.withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    rows = running(obs, ["ins_code"], [Prefix("k", one, "sum", inclusive=False)], p.chunk_rows)
+    rows = rows.withColumn("k", F.coalesce("k", F.lit(0)).cast("bigint"))
     size = F.lit(block).cast("bigint")
-    rows = rows.withColumn("i", F.pmod("n", size)).withColumn("block", (F.col("n") - F.col("i")) / size)
-    rows = rows.withColumn("block", F.col("block").cast("bigint"))
+    rows = rows.withColumn("i", F.pmod("k", size)).withColumn("block", F.expr(f"k div {block}"))
+    if initial is None:
+        rows = rows.withColumn("n", F.col("k"))
+    else:
+        seen = initial.select("ins_code", F.col("n").alias("n0"))
+        rows = rows.join(seen, "ins_code", "left").withColumn("n", F.col("k") + F.coalesce("n0", F.lit(0))).drop("n0")
     whole = W.partitionBy("ins_code", "block")
     before = whole.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({f"{f}_c": F.avg(f).over(whole) for f in FEATURES})
@@ -81,6 +87,9 @@ def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None) ->
         return [(m + F.col(f"{f}_c")).alias(f"{f}_m"), F.greatest(F.col(f"{f}_2") / F.col("w") - m * m, F.lit(0.0)).alias(f"{f}_v")]
 
     ends = ends.select("ins_code", "block", *[c for f in FEATURES for c in own(f)])
+    if initial is not None:
+        held = [F.col(f"{f}_{k}").alias(f"{f}_{k[0]}") for f in FEATURES for k in ("mean", "var")]
+        ends = ends.unionByName(initial.select("ins_code", F.lit(-1).cast("bigint").alias("block"), *held))
     by_block = W.partitionBy("ins_code").orderBy("block")
     faded = keep ** block
     trace = {}
@@ -94,7 +103,7 @@ def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None) ->
     starts = ends.select("ins_code", "block", *[c.alias(k) for k, c in trace.items()])
     out = weighted.join(starts, ["ins_code", "block"], "left")
     fade = F.pow(F.lit(keep), (F.col("i") - 1).cast("double"))
-    start_w = F.when(F.col("block") > 0, F.pow(F.lit(keep), F.col("i").cast("double"))).otherwise(0.0)
+    start_w = F.when(F.col(f"{FEATURES[0]}_m0").isNotNull(), F.pow(F.lit(keep), F.col("i").cast("double"))).otherwise(0.0)
     cols = {}
     for f in FEATURES:
         c, m0, v0 = F.col(f"{f}_c"), F.col(f"{f}_m0"), F.col(f"{f}_v0")
@@ -109,9 +118,25 @@ def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None) ->
     return out.select(*obs.columns, "n", *cols)
 
 
+def ewma_after(state: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(ins_code, n, <feature>_mean, <feature>_var) after each instrument's last observation."""
+    last = F.max(F.struct("seq", "n", *FEATURES, *[f"{f}_{k}" for f in FEATURES for k in ("mean", "var")])).alias("l")
+    rows = state.groupBy("ins_code").agg(last).select("ins_code", "l.*")
+    cols = {}
+    for f in FEATURES:
+        x, m, v = F.col(f), F.col(f"{f}_mean"), F.col(f"{f}_var")
+        d = x - m
+        cols[f"{f}_mean"] = F.when(F.col("n") == 0, x).otherwise(m + p.alpha * d)
+        cols[f"{f}_var"] = F.when(F.col("n") == 0, 0.0).otherwise((1 - p.alpha) * (v + p.alpha * d * d))
+    return rows.select("ins_code", (F.col("n") + 1).alias("n"), *[c.alias(k) for k, c in cols.items()])
+
+
 def anomalies(intervals: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT, block: int | None = None) -> DataFrame:
     """Intervals far from the instrument's own baseline, one row per feature."""
-    state = ewma_state(observations(intervals, calendar, p), p, block)
+    return anomalies_of(ewma_state(observations(intervals, calendar, p), p, block), p)
+
+
+def anomalies_of(state: DataFrame, p: Params = DEFAULT) -> DataFrame:
     per_feature = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"{f}_mean").alias("mean"),
                                      F.col(f"{f}_var").alias("var")) for f in FEATURES])
     ready = state.filter(F.col("scored") & (F.col("n") >= p.warm_up)).select(

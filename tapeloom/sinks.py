@@ -91,7 +91,7 @@ STATUS_LABELS = {"awaiting": "در انتظار بازنشانی منبع", "liv
 def csv_rows(rows: DataFrame) -> DataFrame:
     """Symbols table with status (see ``row_status``) as CSV columns; a missing value is NULL, never 0."""
     out = rows.withColumns({
-        "status_label": lookup(F.col("status"), STATUS_LABELS), "class_label": lookup(F.col("class"), CLASS_LABELS), "chg": F.format_number("chg", "0.00"),
+        "status_label": lookup(F.col("status"), STATUS_LABELS), "class_label": lookup(F.col("class"), CLASS_LABELS), "chg": F.when(F.col("chg").isNotNull(), F.format_string("%.2f", "chg")),
         "src": F.date_format("src", "yyyy-MM-dd'T'HH:mm:ss'Z'")})
     return out.select(*[F.col(c).cast("string").alias(label) for c, label in CSV_HEADER.items()])
 
