@@ -43,26 +43,27 @@ def stream_recording(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _typed() -> Column:
-    """Every field present in the object has its JSON type (an absent or null field has none)."""
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+    """Every field present in the object has its JSON type; an absent or null field has none.
 
-    def is_a(name: str, *kinds: str) -> Column:
-        k = kind(name)
-        return k.isNull() | k.isin("VOID", *kinds)
+    Needs ``kinds``: field name -> type of its JSON value.
+    """
+    def all_in(names: list[str], kind: str) -> Column:
+        return F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("kinds", n), F.lit("VOID")).isin("VOID", kind))
 
-    texts = [is_a(n, "STRING") for n in ("ins_code", "symbol", "source", "source_time", "ingest_time")]
-    numbers = [is_a(n, "BIGINT") for n in (*PRICES, *LIMITS, *COUNTS)]
-    book, missing = kind("book"), kind("missing")
-    lists = [book.isNull() | book.rlike(r"^(VOID|ARRAY<(VOID|OBJECT<([A-Za-z]+: (BIGINT|VOID)(, )?)*>)>)$"),
-             missing.isNull() | missing.isin("VOID", "ARRAY<VOID>", "ARRAY<STRING>")]
-    return all_of([*texts, *numbers, *lists, is_a("source_time_estimated", "BOOLEAN")])
+    book, missing = (F.coalesce(F.try_element_at("kinds", F.lit(n)), F.lit("VOID")) for n in ("book", "missing"))
+    return all_of([
+        all_in(["ins_code", "symbol", "source", "source_time", "ingest_time"], "STRING"), all_in([*PRICES, *LIMITS, *COUNTS], "BIGINT"),
+        all_in(["source_time_estimated"], "BOOLEAN"), missing.isin("VOID", "ARRAY<VOID>", "ARRAY<STRING>"),
+        book.rlike(r"^(VOID|ARRAY<(VOID|OBJECT<([A-Za-z]+: (BIGINT|VOID)(, )?)*>)>)$")])
 
 
 def checked(raw: DataFrame) -> DataFrame:
     """Add ``s`` (the parsed snapshot) and ``error``: why the message is not a valid snapshot, else NULL."""
-    rows = raw.withColumn("v", F.try_parse_json("payload")).withColumn("s", F.from_json("payload", SNAPSHOT_JSON))
+    rows = raw.withColumns({"v": F.try_parse_json("payload"), "s": F.from_json("payload", SNAPSHOT_JSON)})
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT<"), F.lit(False))
+    fields = F.from_json("payload", "map<string,variant>")
+    rows = rows.withColumn("is_object", is_object).withColumn("kinds", F.when(F.col("is_object"), F.transform_values(fields, lambda k, x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")))))
+    is_object = F.col("is_object")
     listed = F.coalesce(F.col("s.missing"), F.array())
     unlisted = [F.when(F.col(f"s.{f}").isNull() & ~F.array_contains(listed, f), F.lit(f)) for f in FLOW_FIELDS]
     unreadable = any_of([F.try_variant_get("v", f"$.{t}", "string").isNotNull() & F.col(f"s.{t}").isNull() for t in ("source_time", "ingest_time")])
@@ -71,7 +72,8 @@ def checked(raw: DataFrame) -> DataFrame:
              .when(F.coalesce(F.col("s.ins_code"), F.lit("")) == "", "empty ins_code").when(F.col("s.source_time").isNull(), "missing source_time")
              .when(F.coalesce(*unlisted).isNotNull(), F.concat(F.lit("field "), F.coalesce(*unlisted), F.lit(" absent but not listed in missing")))
              .when(elsewhere, "ins_code differs from the subject"))
-    return rows.withColumn("error", error).drop("v")
+    # a one-element explode: filters on the error stay above it, so the message is parsed once
+    return rows.select("*", F.explode(F.array(error)).alias("error")).drop("v", "kinds", "is_object")
 
 
 def canonical(rows: DataFrame, snapshot: str = "s") -> DataFrame:

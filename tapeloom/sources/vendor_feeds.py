@@ -58,13 +58,16 @@ def _limits(lo: Column, hi: Column) -> dict[str, Column]:
 def _book_a() -> Column:
     """Five levels, all 30 values required."""
     book = F.transform(F.array(*[F.lit(str(i)) for i in range(1, 6)]), lambda i: F.struct(*[
-        num(text(F.try_element_at("raw", F.concat(F.lit(prefix), i)))).alias(name) for name, prefix in BOOK_A.items()]))
+        F.try_element_at("numbers", F.concat(F.lit(prefix), i)).alias(name) for name, prefix in BOOK_A.items()]))
     whole = F.filter(F.array(book), lambda levels: F.forall(levels, lambda x: F.concat(*[x[n].cast("string") for n in BOOK_A]).isNotNull()))
     return F.get(whole, F.lit(0))
 
 
-def _texts(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
-    return rows.withColumns({f"_{name}": text(F.col("raw")[key]) for name, key in keys.items()})
+def _parsed(rows: DataFrame, code: str, symbol: str) -> DataFrame:
+    """Texts and integers of every key at once."""
+    out = rows.withColumn("texts", F.transform_values("raw", lambda k, v: text(v)))
+    out = out.withColumn("numbers", F.transform_values("texts", lambda k, v: num(v)))
+    return out.withColumns({"ins_code": F.coalesce(F.col("texts")[code], F.lit("")), "symbol": F.coalesce(F.col("texts")[symbol], F.lit(""))})
 
 
 def _canonical(rows: DataFrame, source: str, fields: dict[str, str], limits: dict[str, Column], book: Column | None) -> DataFrame:
@@ -84,22 +87,19 @@ def _canonical(rows: DataFrame, source: str, fields: dict[str, str], limits: dic
 
 def ingest_a(rows: DataFrame, source: str = "feed_a") -> DataFrame:
     """Feed A. Prices of 1 rial are placeholders, and void the traded value unless nothing traded."""
-    out = _texts(rows, {**FEED_A, "ins_code": "id", "symbol": "l18", "low": "tmin", "high": "tmax"})
-    out = out.withColumns({"ins_code": F.col("_ins_code"), "symbol": F.col("_symbol"), "low": num(F.col("_low")), "high": num(F.col("_high")),
-                           **{f: num(F.col(f"_{f}")) for f in FEED_A}}).filter(F.col("ins_code").rlike("^[0-9]+$"))
-    out = out.withColumns({f: _valid(F.col(f), f.startswith("price_"), 1) for f in FEED_A})
+    out = _parsed(rows, "id", "l18").filter(F.col("ins_code").rlike("^[0-9]+$"))
+    out = out.withColumns({f: _valid(F.col("numbers")[k], f.startswith("price_"), 1) for f, k in FEED_A.items()})
     void = F.col("price_last").isNull() & F.col("value").isNotNull() & (F.col("volume").isNull() | (F.col("volume") > 0))
     out = out.withColumn("value_placeholder", void).withColumn("value", F.when(~F.col("value_placeholder"), F.col("value")))
-    return _canonical(out, source, FEED_A, _limits(F.col("low"), F.col("high")), _book_a())
+    return _canonical(out, source, FEED_A, _limits(F.col("numbers")["tmin"], F.col("numbers")["tmax"]), _book_a())
 
 
 def ingest_b(rows: DataFrame, source: str = "feed_b") -> DataFrame:
     """Feed B. A price of 0 means no trade today; limits are decimal strings; the book is not mapped."""
-    out = _texts(rows, {**FEED_B, "ins_code": "instance_code", "symbol": "name", "low": "daily_price_low", "high": "daily_price_high"})
-    out = out.withColumns({"ins_code": F.col("_ins_code"), "symbol": F.col("_symbol"), "low": whole_decimal(F.col("_low")),
-                           "high": whole_decimal(F.col("_high")), **{f: num(F.col(f"_{f}")) for f in FEED_B}}).filter(F.col("ins_code") != "")
-    out = out.withColumns({f: _valid(F.col(f), f.startswith("price_"), 0) for f in FEED_B}).withColumn("value_placeholder", F.lit(False))
-    return _canonical(out, source, FEED_B, _limits(F.col("low"), F.col("high")), None)
+    out = _parsed(rows, "instance_code", "name").filter(F.col("ins_code") != "")
+    out = out.withColumns({f: _valid(F.col("numbers")[k], f.startswith("price_"), 0) for f, k in FEED_B.items()}).withColumn("value_placeholder", F.lit(False))
+    low, high = (whole_decimal(F.col("texts")[k]) for k in ("daily_price_low", "daily_price_high"))
+    return _canonical(out, source, FEED_B, _limits(low, high), None)
 
 
 def union_payload_types(rows: DataFrame) -> DataFrame:
