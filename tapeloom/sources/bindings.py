@@ -201,3 +201,34 @@ def payloads_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         "co_sell_volume": _str(vol - F.col("isell")), "last_trade_date": _str(date),
         "last_trade_time": _str(F.concat((9 + pk % 4).cast("string"), F.lit(":05:00"))), "state": F.when(pk % 3 == 0, '"A"').otherwise("null")}
     return _payloads(_parts(spark, sf_dir).filter(pk % 11 != 0), cells)
+
+
+# --- daily bars from the lineitem table ------------------------------------------------------------
+
+# Few instruments and about two trades per bar: smaller cross sections, shorter windows, a wider setup.
+BAR_PARAMS = dict(min_cross_section=5, ad_min_days=20, high_days=(20, 60), g1_ad_pct=20.0, g1_persistence=1, g1_atr_ratio=1.5, g1_vol_dryup=1.5,
+                  g1_ret_pct=1000.0, g1_level_days=3, g1_rvol=0.5, max_stop_atr=50.0, min_events=5, m3_power=0.5, m3_sellers=1.0, m3_weak_days=1)
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of ten instruments; yesterday's price is halved or doubled on fixed days (adjustments)."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("B"), (F.col("l_suppkey") % 10).cast("string")).alias("ins"), F.to_date(F.col("l_shipdate").cast("timestamp")).alias("day"),
+        F.col("l_quantity").cast("bigint").alias("qty"), (2000 + F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint") % 200).alias("price"),
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    value = F.col("qty") * F.col("price")
+    buys, sells = F.col("l_returnflag").isin("A", "N"), F.col("l_linestatus") == "O"
+    at = F.struct("l_orderkey", "l_linenumber", "price")
+
+    def total(cond: Column, what: Column) -> Column:
+        return F.sum(F.when(cond, what).otherwise(F.lit(0)))
+
+    daily = li.groupBy("ins", "day").agg(
+        F.min(at)["price"].alias("pf"), F.max(at)["price"].alias("pl"), F.min("price").alias("pmin"), F.max("price").alias("pmax"),
+        F.count(F.lit(1)).alias("tno"), F.sum("qty").alias("tvol"), F.sum(value).alias("tval"), total(buys, F.col("qty")).alias("buy_i_vol"),
+        total(sells, F.col("qty")).alias("sell_i_vol"), total(buys, value).alias("buy_i_value"), total(sells, value).alias("sell_i_value"),
+        F.count(F.when(buys, 1)).alias("buy_i_count"), F.count(F.when(sells, 1)).alias("sell_i_count"))
+    daily = daily.withColumn("pc", F.expr("tval div tvol"))
+    before = F.coalesce(F.lag("pc").over(W.partitionBy("ins").orderBy("day")), F.col("pc"))
+    n = F.datediff("day", F.lit(date(1995, 1, 1)))
+    return daily.withColumn("py", F.when(n % 1361 == 0, before * 2).when(n % 389 == 0, F.floor(before / 2)).otherwise(before).cast("bigint"))
