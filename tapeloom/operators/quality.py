@@ -43,12 +43,15 @@ def _duration(seconds: Column) -> Column:
     return (F.when(seconds >= 3600, _text(h, "h", m, "m", tail)).when(seconds >= 60, _text(m, "m", tail)).otherwise(tail))
 
 
-def _issue(code: str, when: Column, detail: Column, day: Column | None = None) -> Column:
-    return F.when(when, F.struct(F.lit(code).alias("code"), detail.alias("detail"),
-                                 (F.lit(None).cast("date") if day is None else day).alias("once_on")))
+Rule = tuple[Column, Column]
 
 
-def _row_issues(p: Params) -> list[Column]:
+def _issue(code: str, when: Column, detail: Column, day: Column | None = None) -> Rule:
+    """(condition, issue struct)."""
+    return when, F.struct(F.lit(code).alias("code"), detail.alias("detail"), (F.lit(None).cast("date") if day is None else day).alias("once_on"))
+
+
+def _row_issues(p: Params) -> list[Rule]:
     c = F.col
     lag = F.round(tehran.seconds_between(c("source_time"), c("ingest_time"))).cast("bigint")
     trading = F.coalesce((c("ingest_time") >= c("in_open")) & (c("ingest_time") < c("in_close")), F.lit(False))
@@ -87,7 +90,11 @@ def _row_issues(p: Params) -> list[Column]:
 def all_occurrences(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT) -> DataFrame:
     """Every rule that fired on every row, before the once-per-day codes are reduced."""
     rows = calendar.with_session(accepted, tehran.trading_day(F.col("ingest_time")), "in_")
-    return rows.select("seq", "ins_code", F.col("ingest_time").alias("at"), F.inline(F.array_compact(F.array(*_row_issues(p)))))
+    fired = _row_issues(p)
+    # most rows are clean: they leave before any issue is built
+    suspect = rows.filter(rules.any_of([F.coalesce(when, F.lit(False)) for when, _ in fired]))
+    return suspect.select("seq", "ins_code", F.col("ingest_time").alias("at"),
+                          F.inline(F.array_compact(F.array(*[F.when(when, issue) for when, issue in fired]))))
 
 
 def once_per_day(occurrences: DataFrame, codes: list[str] = ONCE_PER_DAY, keep_day: bool = False) -> DataFrame:
@@ -98,10 +105,14 @@ def once_per_day(occurrences: DataFrame, codes: list[str] = ONCE_PER_DAY, keep_d
 
 
 def issues(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT) -> DataFrame:
-    """The issue table: (seq, ins_code, code, detail, at)."""
+    """The issue table: (seq, ins_code, code, detail, at), from one pass over the rows.
+
+    Codes reported once a day form one group per instrument and day; every other issue is a group of its own.
+    """
     every = all_occurrences(accepted, calendar, p)
-    repeated = every.filter(~F.col("code").isin(ONCE_PER_DAY)).select("seq", "ins_code", "code", "detail", "at")
-    return repeated.unionByName(once_per_day(every))
+    own = F.when(F.col("once_on").isNull(), F.struct("seq", "detail")).alias("own")
+    first = F.min(F.struct("seq", "at", "detail")).alias("f")
+    return every.groupBy("ins_code", "code", "once_on", own).agg(first).select("f.seq", "ins_code", "code", "f.detail", "f.at")
 
 
 def issue_counts(issue_rows: DataFrame) -> DataFrame:

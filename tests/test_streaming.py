@@ -66,3 +66,36 @@ def test_duplicate_messages_are_stored_once(spark, snaps, tmp_path):
     query.awaitTermination()
     keys = ["ins_code", "source_time", "ingest_time"]
     assert spark.table("deduped").count() == snaps.select(*keys).distinct().count()
+
+
+def test_market_publication(spark, snaps, expected, tmp_path):
+    """A second publication without new data changes nothing; with more data it publishes what differs."""
+    from datetime import date
+
+    from tapeloom.operators import market
+    from tapeloom.streaming.market import MarketPublisher
+
+    day = date(2024, 1, 8)
+    real = stage(snaps.filter(~rules.is_synthetic(F.col("source"), F.col("ins_code"), F.col("symbol"))), "real")
+    totals, issues = stage(expected["day_totals"], "totals"), stage(expected["issues"], "issues")
+    seen = {"limit": 10_000_000}
+    cut = real.filter(F.to_date("source_time") == F.lit(day)).agg(F.expr("percentile(seq, 0.5)")).first()[0]
+    pub = MarketPublisher(spark, str(tmp_path), lambda: real.filter(F.col("seq") <= seen["limit"]), lambda: totals.filter(F.col("seq") <= seen["limit"]),
+                          lambda: issues.filter(F.col("seq") <= seen["limit"]), CAL, P)
+    seen["limit"] = cut
+    pub.publish(day, 0)
+    seen["limit"] = 10_000_000
+    pub.publish(day, 1)
+    pub.publish(day, 2)
+
+    def read(name, n):
+        return spark.read.parquet(f"{tmp_path}/{name}/batch={n}")
+
+    assert read("changed", 0).count() == read("rows", 0).count() > 0
+    assert 0 < read("changed", 1).count() <= read("rows", 1).count()
+    assert read("changed", 2).count() == 0
+    whole = market.of_day(real, CAL)
+    table = market.market_table(market.day_states(market.accepted_rows(whole, market.dashboard_reference(whole, P), P)),
+                                flow.day_totals(stage(accept(real, CAL, P), "again"), P), quality.issue_counts(issues), P)
+    assert rows(market.market_rows(table).filter(F.col("day") == F.lit(day))) == rows(read("rows", 2))
+    assert read("summary", 2).first().instruments == read("rows", 2).count()
