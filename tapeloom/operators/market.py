@@ -238,6 +238,11 @@ def market_summary(table: DataFrame, rows: DataFrame, reference: DataFrame, issu
 
 # --- synthetic instruments -------------------------------------------------------------------------
 
+def drop_synthetic(snaps: DataFrame) -> DataFrame:
+    """Rows of real market data only."""
+    return snaps.filter(~rules.is_synthetic(F.col("source"), F.col("ins_code"), F.col("symbol")))
+
+
 def synthetic_instruments(snaps: DataFrame) -> DataFrame:
     return snaps.filter(rules.is_synthetic(F.col("source"), F.col("ins_code"), F.col("symbol"))).select("ins_code").distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tapeloom.operators import flow, quality, signals
 from tapeloom.operators.accept import accept
-from tapeloom.functions import rules
+from tapeloom.operators.market import drop_synthetic
 from tapeloom.params import Params
 from tapeloom.runtime import prepare, stage
 from tapeloom.sources import bindings
@@ -59,7 +59,7 @@ class Tape:
 
     @property
     def real(self) -> DataFrame:
-        return self.snapshots.filter(~rules.is_synthetic(F.col("source"), F.col("ins_code"), F.col("symbol")))
+        return drop_synthetic(self.snapshots)
 
     @property
     def accepted(self) -> DataFrame:
