@@ -93,8 +93,8 @@ def all_occurrences(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR,
     fired = _row_issues(p)
     # most rows are clean: they leave before any issue is built
     suspect = rows.filter(rules.any_of([F.coalesce(when, F.lit(False)) for when, _ in fired]))
-    return suspect.select("seq", "ins_code", F.col("ingest_time").alias("at"),
-                          F.inline(F.array_compact(F.array(*[F.when(when, issue) for when, issue in fired]))))
+    every = F.inline(F.array(*[F.when(when, issue) for when, issue in fired]))
+    return suspect.select("seq", "ins_code", F.col("ingest_time").alias("at"), every).filter(F.col("code").isNotNull())
 
 
 def once_per_day(occurrences: DataFrame, codes: list[str] = ONCE_PER_DAY, keep_day: bool = False) -> DataFrame:
