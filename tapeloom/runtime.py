@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,14 +19,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """This application's folder for intermediate tables, removed when the application ends.
+
+    It lies in the folder named by ``spark.checkpoint.dir``, or in the warehouse where that is unset: both are shared by the
+    driver and all executors.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="tapeloom-")
-    return _own_dirs[app]
+    root = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
