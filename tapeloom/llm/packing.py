@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.lanes import lane_encoder
 from tapeloom.llm.tables import staged
+from tapeloom.runtime import ship
 
 Filling = tuple[int, ...]
 
@@ -165,6 +166,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes_per_bin: int = 3, wid
 
 def pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", max_words: int = 300_000) -> DataFrame:
     """Pieces of every document: its ids, then id 0, cut every ``capacity`` tokens. Null text counts as empty text."""
+    ship(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids_crc32"]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.bpe import Merges, byte_symbols
+from tapeloom.runtime import ship
 
 CLASSES = ["letter", "c1", "r", "e", "v", "l", "number", "apostrophe", "other", "blank", "space", "end"]
 LETTER, C1, R, E, V, L, NUMBER, APOSTROPHE, OTHER, BLANK, SPACE, END = range(12)
@@ -266,6 +267,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     No shuffle; memory is bounded by ``batch_chars``, the longest text and ``max_states`` compiled states.
     """
+    ship(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tapeloom.llm.bpe import LastTokens, Merges, byte_symbols
+from tapeloom.runtime import ship
 
 SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the pattern
 FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")  # beyond Latin letters that NFC leaves alone
@@ -202,6 +203,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def _apply(docs: DataFrame, path: str, id_col: str, text_col: str, max_words: int, columns: str, result, types: list[pa.DataType]) -> DataFrame:
+    ship(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
     names = [id_col] + [c.strip().split(" ")[0] for c in columns.split(",")]
