@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import packing, token_count, trie_bpe
-from tapeloom.llm.tables import table
+from tapeloom.llm import chat, packing, quality_rules, token_count, topk, trie_bpe
+from tapeloom.llm.tables import staged, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -15,6 +16,55 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql("SELECT -7L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text UNION ALL "
+                        "SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
+    nodes = staged(chat.turn_nodes(rows.unionByName(control)), "turns")
+    return chat.digests(chat.format_paths(nodes, chat.best_paths(nodes)))
+
+
+_ESCAPED = "replace({}, '%', '%25')"
+for _c in chat.CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{chat.MASKED[_c[0]] + _c[1:]}')"
+
+OP4_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+parts AS (
+  SELECT *, length({_ESCAPED.format('text')}) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17
+    ELSE 21 + length({_ESCAPED.format('role')}) END AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM parts GROUP BY conv_id"""
+
+
+def op5_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = staged(quality_rules.text_stats(docs).drop("text"), "stats")
+    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"), lambda df: staged(df, "cells"))
+    return quality_rules.judge(stats, rules)
+
+
+def op6_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=2048)
 
@@ -23,8 +73,8 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = [op1_token_counts, op8_best_fit_packing, op10_bpe_trie]
-SQL: dict[str, str] = {}
+QUERIES = [op1_token_counts, op4_reply_tree_chat, op5_quality_decision_list, op6_block_top_k, op8_best_fit_packing, op10_bpe_trie]
+SQL = {"op4_reply_tree_chat": OP4_SQL, "op6_block_top_k": OP6_SQL}
 
 
 def register(registry) -> None:
