@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, packing, quality_rules, token_count, topk, trie_bpe
+from tapeloom.llm import chat, hmm, minhash, packing, quality_rules, secrets, suffix_repeats, token_count, topk, trie_bpe
 from tapeloom.llm.tables import staged, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -16,6 +16,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.NearDuplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80).classes()
+    return found.withColumnRenamed("id", "doc_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(ws) - 2)), lambda i: array_to_string(ws[i:i + 3], ' '))) AS sh
+  FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_n >= 80 * (na.n + nb.n - both_n)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(docs, secrets.train(docs))
+
+
 def op4_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.sql("SELECT -7L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text UNION ALL "
@@ -65,18 +92,33 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digests(table(spark, sf_dir, "documents"), length=400)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=2048)
 
 
+def op9_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = [op1_token_counts, op4_reply_tree_chat, op5_quality_decision_list, op6_block_top_k, op8_best_fit_packing, op10_bpe_trie]
-SQL = {"op4_reply_tree_chat": OP4_SQL, "op6_block_top_k": OP6_SQL}
+QUERIES = [op1_token_counts, op2_minhash_near_dedup, op3_secret_scan, op4_reply_tree_chat, op5_quality_decision_list, op6_block_top_k,
+           op7_suffix_array_dedup, op8_best_fit_packing, op9_hidden_markov_scores, op10_bpe_trie]
+SQL = {"op2_minhash_near_dedup": OP2_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_block_top_k": OP6_SQL}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository top; it imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def register(registry) -> None:
-    for query in QUERIES:
+    for query in [*QUERIES, pipeline]:
         registry.add(query.__name__, query, SQL.get(query.__name__))
