@@ -99,7 +99,7 @@ class Rule:
         return out
 
 
-CUTS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99]
+CUTS = [0.01, 0.1, 0.5, 0.9, 0.99, 1.0]  # of bad and of good rows
 
 
 def learn(stats: DataFrame, labels: DataFrame, cache, id_col: str = "doc_id", label_col: str = "quality", min_precision: float = 0.97,
@@ -115,9 +115,9 @@ def learn(stats: DataFrame, labels: DataFrame, cache, id_col: str = "doc_id", la
                     (F.pmod(F.xxhash64("_id"), F.lit(3)) == 0).alias("pruning")))
     names = list(features())
     cells = cache(rows.groupBy(*names, "bad", "pruning").count())
-    cuts = cells.agg(*(F.percentile_approx(n, F.array(*map(F.lit, CUTS)), 1000).alias(n) for n in names)).first()
+    cuts = cells.groupBy("bad").agg(*(F.percentile_approx(n, F.array(*map(F.lit, CUTS)), 1000).alias(n) for n in names)).collect()
     own = {n: F.col(n) for n in names}
-    options = [Condition(n, above, float(t)) for n in names for t in sorted(set(cuts[n] or [])) for above in (True, False)]
+    options = [Condition(n, above, float(t)) for n in names for t in sorted({x for r in cuts for x in r[n] or []}) for above in (True, False)]
 
     def counts(taken: list[Rule], conditions: list[Column], pruning: bool) -> list[tuple[int, int]]:
         """Bad and good rows that meet each condition, of the rows no rule has taken yet."""
