@@ -198,9 +198,8 @@ class Repeats:
     def spans(self, copies: DataFrame) -> DataFrame:
         """(k1, k2, start, stop) of all repeats; spans of one text may overlap."""
         k, length = self.gram, self.length
-        every = staged(self.anchor_rows(), "anchors")
+        every = staged(self.anchor_rows().distinct(), "anchors")  # copies of a text take part once
         occurrence = F.xxhash64("k1", "k2", "pos")
-        # Distinct occurrences: copies of a text count once.
         many = (every.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n")).where("a <> b")
                 .select("gram", (F.col("n") > self.group_rows).alias("crowded")))
         again = staged(every.join(staged(many, "grams"), "gram"), "repeated")
