@@ -163,7 +163,7 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 class Repeats:
     """One run over a table."""
 
-    def __init__(self, docs: DataFrame, length: int = 400, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 65_536):
+    def __init__(self, docs: DataFrame, length: int = 400, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 250_000):
         if not 0 < gram <= length:
             raise ValueError("gram must be between 1 and length")
         ship(docs.sparkSession)
