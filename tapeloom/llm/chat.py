@@ -65,9 +65,9 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             break  # only cycles are left
         far = here.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("longer"))
         jumps.append(staged(
-            here.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
-            .select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                    (F.col("steps") + F.coalesce("longer", F.lit(0))).alias("steps")), f"jump{len(jumps)}"))
+            here.where("up IS NOT NULL").join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+            .select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("longer")).alias("steps"))
+            .unionByName(here.where("up IS NULL")), f"jump{len(jumps)}"))  # who has reached the root is carried along
     leaves = jumps[-1].where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))
     paths = leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", "branch", "node", (F.col("steps") - 1).alias("depth"))
