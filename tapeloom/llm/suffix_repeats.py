@@ -10,7 +10,9 @@ whose k-gram occurs elsewhere too.
    interval, sorting by what stands to the left shows the left extensions: where they differ a repeat ends on the left
    (it is maximal), and each occurrence goes as far left as it agrees with any other of the interval. If that and the
    interval's prefix make ``length`` bytes, the occurrence belongs to a repeat.
-4. A k-gram with more than ``group_rows`` occurrences is not held in one task: all its windows of ``length`` bytes are
+4. Occurrences of one text whose contexts (``length`` bytes to the right, ``length`` minus a k-gram to the left) are equal are
+   one row with further places: a long periodic text has few contexts, however often its k-gram recurs.
+5. A k-gram with more than ``group_rows`` such rows is not held in one task: all its windows of ``length`` bytes are
    counted by hash instead, which is exact too.
 
 Texts are identified by a 128-bit hash of their bytes, so exact copies take part once; a text with copies repeats as a
@@ -86,6 +88,23 @@ def anchors(data: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarr
     return at, h[at]
 
 
+def by_context(data: bytes, at: np.ndarray, grams: np.ndarray, back: int, length: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Indexes of the anchors that stand for all those of equal k-gram and context, and the further places of each."""
+    _, inverse, times = np.unique(grams, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[inverse] > 1)
+    if not len(again):
+        return np.arange(len(at)), {}
+    first: dict[tuple[int, bytes], int] = {}
+    more: dict[int, list[int]] = {}
+    kept = np.ones(len(at), bool)
+    for i, p in zip(again.tolist(), at[again].tolist()):
+        head = first.setdefault((min(p, back), data[max(0, p - back):p + length]), i)
+        if head != i:
+            kept[i] = False
+            more.setdefault(head, []).append(p)
+    return np.flatnonzero(kept), more
+
+
 def common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -135,20 +154,20 @@ def interval_repeats(right: list[bytes], left: list[bytes], length: int) -> list
 
 
 def _context_groups(it):
-    """(right, left, occurrences) lists of one k-gram at a time, from rows sorted by k-gram, right and left; equal contexts are one entry."""
+    """(right, left, texts with their places) lists of one k-gram at a time, from rows sorted by k-gram, right and left; equal contexts are one entry."""
     key, right, left, where = None, [], [], []
     for batch in it:
-        for gram, r, l, k1, k2, pos in zip(*(c.to_pylist() for c in batch.columns)):
+        for gram, r, l, k1, k2, pos, more in zip(*(c.to_pylist() for c in batch.columns)):
             if gram != key:
                 if key is not None:
                     yield right, left, where
                 key, right, left, where = gram, [], [], []
             if right and right[-1] == r and left[-1] == l:
-                where[-1].append((k1, k2, pos))
+                where[-1].append((k1, k2, pos, *(more or ())))
             else:
                 right.append(r)
                 left.append(l)
-                where.append([(k1, k2, pos)])
+                where.append([(k1, k2, pos, *(more or ()))])
     if key is not None:
         yield right, left, where
 
@@ -160,6 +179,17 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["k1", "k2", "start", "stop"])
 
 
+def _joined_runs(places: list[int], left: int, right: int) -> list[tuple[int, int]]:
+    """Runs from ``left`` before to ``right`` after each place, overlapping ones as one."""
+    runs: list[tuple[int, int]] = []
+    for p in sorted(places):
+        if runs and p - left <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], p + right)
+        else:
+            runs.append((p - left, p + right))
+    return runs
+
+
 class Repeats:
     """One run over a table."""
 
@@ -178,18 +208,22 @@ class Repeats:
         def run(it):
             for batch in it:
                 texts, k1, k2 = batch.column("text"), batch.column("k1"), batch.column("k2")
-                which, grams, places = [], [], []
+                which, grams, places, further = [], [], [], []
                 for i, text in enumerate(texts):
-                    at, h = anchors(np.frombuffer(text.as_buffer() or b"", np.uint8), k, length)
-                    which.append(np.full(len(at), i))
-                    places.append(at)
-                    grams.append(h)
+                    data = text.as_buffer() or b""
+                    at, h = anchors(np.frombuffer(data, np.uint8), k, length)
+                    kept, more = by_context(bytes(data), at, h, length - k, length)
+                    which.append(np.full(len(kept), i))
+                    places.append(at[kept])
+                    grams.append(h[kept])
+                    further += map(more.get, kept.tolist())
                 if which:
                     take = pa.array(np.concatenate(which).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), k1.take(take), k2.take(take),
-                                                      pa.array(np.concatenate(places).astype(np.int64))], names=["gram", "k1", "k2", "pos"])
+                                                      pa.array(np.concatenate(places).astype(np.int64)), pa.array(further, pa.list_(pa.int64()))],
+                                                     names=["gram", "k1", "k2", "pos", "more"])
 
-        return self.docs.select("text", "k1", "k2").mapInArrow(run, "gram long, k1 long, k2 long, pos long")
+        return self.docs.select("text", "k1", "k2").mapInArrow(run, "gram long, k1 long, k2 long, pos long, more array<long>")
 
     def _joined(self, places: DataFrame, copies: DataFrame) -> DataFrame:
         """One text of each class in ``places`` (k1, k2, lists), found by the smallest id of the class."""
@@ -200,11 +234,12 @@ class Repeats:
         k, length = self.gram, self.length
         every = staged(self.anchor_rows().distinct(), "anchors")  # copies of a text take part once
         occurrence = F.xxhash64("k1", "k2", "pos")
-        many = (every.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n")).where("a <> b")
+        many = (every.groupBy("gram").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.count("*").alias("n"),
+                                           F.max(F.col("more").isNotNull()).alias("within")).where("a <> b OR within")
                 .select("gram", (F.col("n") > self.group_rows).alias("crowded")))
         again = staged(every.join(staged(many, "grams"), "gram"), "repeated")
         # A text's anchors: bounded by its own length.
-        places = again.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "gram", "crowded")).alias("at"))
+        places = again.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "gram", "more", "crowded")).alias("at"))
         texts = self._joined(places, copies).select("k1", "k2", "text", "at")
         back = length - k
 
@@ -217,21 +252,22 @@ class Repeats:
                         data = text.encode()
                         for a in at:
                             p = a["pos"]
-                            out.append((a["gram"], data[p:p + length], data[max(0, p - back):p][::-1], k1, k2, p, a["crowded"]))
+                            out.append((a["gram"], data[p:p + length], data[max(0, p - back):p][::-1], k1, k2, p, a["more"], a["crowded"]))
                     if out:
-                        g, r, l, k1, k2, p, c = zip(*out)
+                        g, r, l, k1, k2, p, m, c = zip(*out)
                         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(r, pa.binary()), pa.array(l, pa.binary()), pa.array(k1, pa.int64()),
-                                                          pa.array(k2, pa.int64()), pa.array(p, pa.int64()), pa.array(c, pa.bool_())],
-                                                         names=["gram", "right", "left", "k1", "k2", "pos", "crowded"])
+                                                          pa.array(k2, pa.int64()), pa.array(p, pa.int64()), pa.array(m, pa.list_(pa.int64())),
+                                                          pa.array(c, pa.bool_())], names=["gram", "right", "left", "k1", "k2", "pos", "more", "crowded"])
 
-        made = texts.mapInArrow(contexts, "gram long, right binary, left binary, k1 long, k2 long, pos long, crowded boolean")
+        made = texts.mapInArrow(contexts, "gram long, right binary, left binary, k1 long, k2 long, pos long, more array<long>, crowded boolean")
         spread = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ordered = (made.where("NOT crowded").drop("crowded").repartition(spread, "gram").sortWithinPartitions("gram", "right", "left"))
 
         def scan(it):
             rows: list[tuple] = []
             for right, left, where in _context_groups(it):
-                alone = [len(set(w)) == 1 for w in where]
+                where = [list(set(w)) for w in where]
+                alone = [len(w) == 1 and len(w[0]) == 3 for w in where]
                 if len(where) == 1 and alone[0]:
                     continue
                 # An entry of several occurrences stands twice, so that it meets itself.
@@ -240,7 +276,7 @@ class Repeats:
                 for i, r in zip(index, interval_repeats([right[i] for i in index], [left[i] for i in index], length)):
                     reach[i].update(r)
                 for i, w in enumerate(where):
-                    rows += [(k1, k2, p - a, p + b) for k1, k2, p in set(w) for a, b in reach[i]]
+                    rows += [(k1, k2, *run) for k1, k2, *places in w for a, b in reach[i] for run in _joined_runs(places, a, b)]
                 if len(rows) > 10_000:
                     yield _spans(rows)
                     rows = []
@@ -253,24 +289,30 @@ class Repeats:
         return found
 
     def _counted(self, contexts: DataFrame) -> DataFrame:
-        """Spans of crowded k-grams: every window around them, counted by its hash."""
-        length, k = self.length, self.gram
+        """Spans of crowded k-grams: every window around them, counted by its hash. Windows of contexts with further places repeat anyway."""
+        length = self.length
 
         def windows(it):
             for batch in it:
-                for r, l, k1, k2, pos in zip(*(batch.column(c).to_pylist() for c in ("right", "left", "k1", "k2", "pos"))):
+                for r, l, k1, k2, pos, more in zip(*(batch.column(c).to_pylist() for c in ("right", "left", "k1", "k2", "pos", "more"))):
                     data = np.frombuffer(l[::-1] + r, np.uint8)
                     if len(data) < length:
                         continue
                     h = gram_hashes(data, length).view(np.int64)
                     n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.arange(n) + pos - len(l))],
-                                                     names=["window", "k1", "k2", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.arange(n) + pos - len(l)),
+                                                      pa.array(np.full(n, more is not None))], names=["window", "k1", "k2", "start", "within"])
 
-        every = staged(contexts.mapInArrow(windows, "window long, k1 long, k2 long, start long"), "windows")
+        contexts = staged(contexts, "crowded")
+        every = staged(contexts.mapInArrow(windows, "window long, k1 long, k2 long, start long, within boolean"), "windows")
         occurrence = F.xxhash64("k1", "k2", "start")
-        twice = every.groupBy("window").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).where("a <> b").select("window")
-        return every.join(twice, "window").select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+        twice = (every.groupBy("window").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b"), F.max("within").alias("within"))
+                 .where("a <> b OR within").select("window"))
+        found = every.join(twice, "window").select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+        left, right = F.length("left"), F.length("right")
+        within = (contexts.where(F.col("more").isNotNull() & (left + right >= length)).select("k1", "k2", "left", "right", F.explode("more").alias("at"))
+                  .select("k1", "k2", (F.col("at") - left).alias("start"), (F.col("at") + right).alias("stop")))
+        return found.unionByName(within)
 
     def covered(self) -> DataFrame:
         """k1, k2, copies (texts of the class) and spans (sorted, disjoint) of every class of equal texts that has any to remove."""
