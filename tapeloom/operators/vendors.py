@@ -30,12 +30,15 @@ FIELDS = [
     (TOTAL, "trade_count", "tno", "trade_number", False),
     (TOTAL, "volume", "tvol", "trade_volume", False),
     (TOTAL, "value", "tval", "trade_value", False),
-] + [
-    (SIDES, f"{who}_{side}_{what}", key_a, f"{who_b}_{side}_{what_b}", False)
-    for what, what_b in (("vol", "volume"), ("count", "count"))
-    for side, side_a in (("buy", "Buy"), ("sell", "Sell"))
-    for who, who_a, who_b in (("ind", "I", "real"), ("inst", "N", "co"))
-    for key_a in [f"{side_a}_{who_a}_Volume" if what == "vol" else f"{side_a}_Count{who_a}"]
+    # The field names of the two vendors.
+    (SIDES, "ind_buy_vol", "Buy_I_Volume", "real_buy_volume", False),
+    (SIDES, "inst_buy_vol", "Buy_N_Volume", "co_buy_volume", False),
+    (SIDES, "ind_sell_vol", "Sell_I_Volume", "real_sell_volume", False),
+    (SIDES, "inst_sell_vol", "Sell_N_Volume", "co_sell_volume", False),
+    (SIDES, "ind_buy_count", "Buy_CountI", "real_buy_count", False),
+    (SIDES, "inst_buy_count", "Buy_CountN", "co_buy_count", False),
+    (SIDES, "ind_sell_count", "Sell_CountI", "real_sell_count", False),
+    (SIDES, "inst_sell_count", "Sell_CountN", "co_sell_count", False),
 ] + [
     (BOOK, f"{side}{i}_{what}", f"{key}{i}", f"{i}_{action}_{what_b}", False)
     for i in range(1, 6)
