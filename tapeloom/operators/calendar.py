@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import tehran
-from tapeloom.runtime import broadcast_if_small
 
 UNKNOWN = "unknown"
 # Classes with aggregates of their own, in display order.
@@ -183,7 +182,7 @@ def load_calendar(spark: SparkSession, path: str) -> CalendarDims:
 
 def with_class(df: DataFrame, instruments: DataFrame, default_class: str = UNKNOWN) -> DataFrame:
     """Instrument -> class; unmapped instruments get the default."""
-    dim = broadcast_if_small(instruments.select("ins_code", F.col("class").alias("_mapped")))
+    dim = instruments.select("ins_code", F.col("class").alias("_mapped"))
     return df.join(dim, "ins_code", "left").withColumn(
         "class", F.coalesce("_mapped", F.lit(default_class))).drop("_mapped")
 

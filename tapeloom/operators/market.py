@@ -14,7 +14,7 @@ from tapeloom.functions import rules, tehran
 from tapeloom.operators.calendar import CLASSES, DEFAULT_CALENDAR, UNKNOWN, Calendar
 from tapeloom.operators.ordered import Prefix, running
 from tapeloom.params import DEFAULT, Params
-from tapeloom.runtime import broadcast_if_small, stage
+from tapeloom.runtime import stage
 
 STATE_COLUMNS = [
     "seq", "ins_code", "symbol", "class", "source", "source_time", "ingest_time", "source_time_estimated", "price_last", "price_yesterday",
@@ -249,7 +249,7 @@ def synthetic_instruments(snaps: DataFrame) -> DataFrame:
 
 def hide_late_synthetic(events: DataFrame, snaps: DataFrame) -> DataFrame:
     """An instrument found to be synthetic at any time also hides what was derived from it before."""
-    return events.join(broadcast_if_small(synthetic_instruments(snaps)), "ins_code", "left_anti")
+    return events.join(synthetic_instruments(snaps), "ins_code", "left_anti")
 
 
 # --- lists -----------------------------------------------------------------------------------------

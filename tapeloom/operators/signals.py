@@ -37,8 +37,8 @@ def observations(intervals: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p:
 
 
 def _block_length(alpha: float) -> int:
-    """Observations after which an old value's weight is below 1e-20."""
-    return max(1024, math.ceil(math.log(1e-20) / math.log1p(-alpha)))
+    """Observations after which an old value's weight is below 1e-20; so no weight inside a block exceeds 1e20."""
+    return math.ceil(math.log(1e-20) / math.log1p(-alpha))
 
 
 def ewma_state(obs: DataFrame, p: Params = DEFAULT, block: int | None = None, initial: DataFrame | None = None) -> DataFrame:

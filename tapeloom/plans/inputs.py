@@ -22,7 +22,11 @@ def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Name, length and modification time of the files under ``path``."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(root))
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, tables: list[str], build: Callable[[], DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,10 +38,14 @@ def recorded(t: Market) -> DataFrame:
     return recordings.read_recording(t.spark, path)
 
 
-def stored(t: Market, df: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
+def stored(t: Market, df: DataFrame, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """``df`` written and read back; with a merging ``read``, written twice, as a restarted run delivers it again."""
     path = _path(t, "stored")
     write(df, path)
-    return t.spark.read.parquet(path)
+    if read is None:
+        return t.spark.read.parquet(path)
+    write(df, path)
+    return read(t.spark, path)
 
 
 def register(r: Registry) -> None:
@@ -64,7 +68,7 @@ def register(r: Registry) -> None:
   WHEN seq % 73 = 0 THEN 'wrong type' ELSE 'empty ins_code' END AS detail, count(*) AS n FROM snaps WHERE seq % 71 = 0 OR seq % 73 = 0 OR seq % 79 = 0 GROUP BY ALL""")
 
     kept = ["seq", "ins_code", "source", "source_time", "ingest_time", "volume"]
-    add("stored_snapshots", lambda t: stored(t, t.snapshots, sinks.write_snapshots).select(*kept, "day"), tape_sql.SNAP_BASE,
+    add("stored_snapshots", lambda t: stored(t, t.snapshots, sinks.write_snapshots, sinks.read_snapshots).select(*kept, "day"), tape_sql.SNAP_BASE,
         f"""SELECT {', '.join(kept)}, CAST(source_time AS DATE) AS day FROM snaps
 QUALIFY row_number() OVER (PARTITION BY ins_code, source_time, source ORDER BY ingest_time DESC, seq DESC) = 1""")
 
@@ -80,12 +84,12 @@ QUALIFY row_number() OVER (PARTITION BY ins_code, source_time, source ORDER BY i
         at = t.accepted.select("seq", F.col("source_time").alias("updated_at"))
         return flow.running_10m(t.accepted, t.p).join(at, "seq").drop("day")
 
-    add("stored_windows", lambda t: stored(t, window_states(t), sinks.write_flow_10m).select(*windows), [*tape_sql.FLOW, tape_sql.WINDOWS],
+    add("stored_windows", lambda t: stored(t, window_states(t), sinks.write_flow_10m, sinks.read_flow_10m).select(*windows), [*tape_sql.FLOW, tape_sql.WINDOWS],
         f"SELECT {', '.join(windows)} FROM tenrun QUALIFY row_number() OVER (PARTITION BY ins_code, window_start ORDER BY updated_at DESC, seq DESC) = 1")
 
     def twice(t: Market) -> DataFrame:
         """Issues of a run, delivered again by a restarted one."""
-        return stored(t, t.issues.unionByName(t.issues), sinks.write_quality).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+        return stored(t, t.issues, sinks.write_quality, sinks.read_quality).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
     add("stored_issues", twice, [*tape_sql.ENGINE, tape.ISSUES], "SELECT code, CASE WHEN code = 'DAY_START_MISSED' THEN 1 ELSE 2 END * count(*) AS n FROM issues GROUP BY code")
 

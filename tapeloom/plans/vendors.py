@@ -24,9 +24,9 @@ class Feeds:
         return shared(self.spark, self.sf_dir, name, ["part"], build)
 
     def _rows(self, payloads: DataFrame) -> DataFrame:
-        """Rows of every payload; payload numbers keep positions unique."""
+        """Rows of every payload, keyed by payload number and position (an array position, so below 2^31)."""
         rows = vendor_feeds.payload_rows(payloads)
-        return rows.withColumn("row", F.col("payload_no") * 1_000_000 + F.col("row")).drop("payload_no")
+        return rows.withColumn("row", F.shiftleft("payload_no", 32) + F.col("row")).drop("payload_no")
 
     @property
     def a(self) -> DataFrame:
@@ -44,6 +44,10 @@ class Feeds:
     def ids_b(self) -> DataFrame:
         return vendors.identities(self.b, vendors.KEYS_B)
 
+    def both(self, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``query`` of the identities of each feed."""
+        return query(self.ids_a).withColumn("vendor", F.lit("a")).unionByName(query(self.ids_b).withColumn("vendor", F.lit("b")))
+
     @property
     def pairs(self) -> DataFrame:
         return self._shared("vendor-pairs", lambda: vendors.match(self.ids_a, self.ids_b))
@@ -235,9 +239,14 @@ ts AS (SELECT s, replace(s, ',', '') AS plain, regexp_replace(s, '\.0*$', '') AS
   translate(s, 'يىك ', 'ییک') AS folded, count(*) AS n FROM ts GROUP BY ALL""")
 
 
+def _repeats(key: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{v}' AS vendor, {key}, count(*) AS n FROM {cte} WHERE {key} <> '' GROUP BY {key} HAVING count(*) > 1"
+                              for v, cte in (("a", "va"), ("b", "vb")))
+
+
 def _matching(add) -> None:
     add("vendor_pairs_by_code", lambda f: vendors.match_by_code(f.ids_a, f.ids_b).select("code"), [PARTS], "SELECT key AS code FROM cpairs")
-    add("vendor_repeated_codes", lambda f: vendors.repeated_codes(f.ids_a), [PARTS], "SELECT code, count(*) AS n FROM va GROUP BY code HAVING count(*) > 1")
+    add("vendor_repeated_codes", lambda f: f.both(vendors.repeated_codes), [PARTS], _repeats("code"))
 
     def by_symbol(f: Feeds) -> DataFrame:
         coded = vendors.match_by_code(f.ids_a, f.ids_b)
@@ -248,7 +257,7 @@ def _matching(add) -> None:
     for side, cte in (("a", "va"), ("b", "vb")):
         add(f"vendor_only_{side}", lambda f, side=side: vendors.leftovers(f.ids_a if side == "a" else f.ids_b, f.pairs, side).select(
             F.coalesce("code", F.lit("")).alias("code"), "folded"), [PARTS], f"SELECT code, folded FROM {cte} WHERE pk NOT IN (SELECT p{side} FROM vpairs)")
-    add("vendor_duplicate_symbols", lambda f: vendors.duplicate_symbols(f.ids_a), [PARTS], "SELECT folded, count(*) AS n FROM va GROUP BY folded HAVING count(*) > 1")
+    add("vendor_duplicate_symbols", lambda f: f.both(vendors.duplicate_symbols), [PARTS], _repeats("folded"))
     add("vendor_latest_times", lambda f: vendors.latest_time(f.a, None, "time").withColumn("vendor", F.lit("a")).unionByName(
         vendors.latest_time(f.b, "last_trade_date", "last_trade_time").withColumn("vendor", F.lit("b"))), [PARTS],
         """SELECT 'a' AS vendor, max(lpad(CAST(9 + pk % 4 AS VARCHAR), 2, '0') || ':' || lpad(CAST(pk % 60 AS VARCHAR), 2, '0') || ':00') AS latest FROM va
@@ -300,5 +309,5 @@ def _classes(add) -> None:
     add("class_map_counts", lambda f: classmap.class_counts(f.classified), base, "SELECT class, count(*) AS rows FROM classified GROUP BY class")
     add("class_map_groups", lambda f: classmap.group_stats(f.classified), base, """SELECT grp AS "group", count(*) AS rows, max(class) AS class,
   CASE WHEN max(class) = 'unknown' THEN array_to_string(list_slice(list(trim(symbol) ORDER BY pk), 1, 5), '، ') END AS samples FROM classified GROUP BY grp""")
-    add("class_map_duplicate_codes", lambda f: classmap.duplicate_codes(f.ids_a.select(F.coalesce("code", F.lit("")).alias("code"))), [PARTS],
-        "SELECT code, count(*) AS n FROM va GROUP BY code HAVING count(*) > 1")
+    add("class_map_duplicate_codes", lambda f: f.both(lambda ids: classmap.duplicate_codes(ids.select(F.coalesce("code", F.lit("")).alias("code")))), [PARTS],
+        _repeats("code"))

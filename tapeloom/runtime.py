@@ -1,4 +1,4 @@
-"""Session-level helpers: time zone, staged tables and size-checked broadcasts."""
+"""Session-level helpers: time zone, staged tables, shipped code."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _made: set[str] = set()
 
@@ -85,13 +84,3 @@ def staged_scope(spark: SparkSession) -> Iterator[None]:
         for path in _scopes.pop():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting (at most ``max_rows`` + 1 rows are looked at).
-
-    A larger dimension stays a shuffle join, where AQE splits skewed partitions of the other side.
-    """
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim

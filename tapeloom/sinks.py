@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import tehran
@@ -42,12 +42,10 @@ def issue_versions(issues: DataFrame) -> DataFrame:
 def _write(df: DataFrame, path: str, day: Column, order: list[str], mode: str) -> None:
     """Partitioned by day and sorted by instrument, so that readers prune days and skip row groups.
 
-    Rows of a day are spread over (day, instrument, hour) before writing: one busy instrument or day does
-    not end up in one task.
+    Rows of a day meet before writing; the adaptive planner splits a day by its size, so a busy one takes as many tasks as it needs.
     """
     out = df.withColumn("day", day)
-    spread = F.pmod(F.xxhash64(order[0], F.date_trunc("hour", order[1])), F.lit(32))
-    (out.repartition("day", spread).sortWithinPartitions("day", *order).write.mode(mode).partitionBy("day").parquet(path))
+    (out.hint("rebalance", "day").sortWithinPartitions("day", *order).write.mode(mode).partitionBy("day").parquet(path))
 
 
 def write_snapshots(snaps: DataFrame, path: str, mode: str = "append") -> None:
@@ -66,6 +64,21 @@ def write_quality(issues: DataFrame, path: str, mode: str = "append") -> None:
     _write(issue_versions(issues), path, F.to_date("at"), ["code", "at"], mode)
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Stored snapshots; of versions that several writes left, the newest."""
+    return snapshot_versions(spark.read.parquet(path))
+
+
+def read_flow_10m(spark: SparkSession, path: str) -> DataFrame:
+    """Stored windows in their latest update over all writes."""
+    return window_versions(spark.read.parquet(path))
+
+
+def read_quality(spark: SparkSession, path: str) -> DataFrame:
+    """Stored issues; one that a later write repeated after a restart counts once."""
+    return issue_versions(spark.read.parquet(path))
+
+
 def envelopes(df: DataFrame, kind: str) -> DataFrame:
     """(subject, value): one JSON message per row, ready for a text or Kafka sink."""
     return df.select(F.concat(F.lit(SUBJECTS[kind]), F.col("ins_code")).alias("subject"), F.to_json(F.struct(*df.columns)).alias("value"))

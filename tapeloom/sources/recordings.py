@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.rules import all_of, any_of
 from tapeloom.operators.quality import UNDECODABLE
-from tapeloom.runtime import broadcast_if_small
 from tapeloom.schemas import COUNTS, FLOW_FIELDS, LIMITS, PRICES, SNAPSHOT_JSON
 
 SUBJECT = "md.snap."
@@ -29,9 +29,12 @@ def read_recording(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
-    files = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(spark.read.text(path).inputFiles()))], "file string, file_no bigint")
-    placed = lines.join(broadcast_if_small(files), "file", "left")
-    derived = F.shiftleft(F.coalesce("file_no", F.lit(0).cast("bigint")), 40) + F.col("block") + F.col("nth")
+    # The names alone, written as the lines have them; no content is read.
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    files = files.withColumn("file_no", F.row_number().over(W.orderBy("file")).cast("bigint") - 1)
+    placed = lines.join(files, "file", "left")
+    file_no = F.coalesce("file_no", F.raise_error(F.concat(F.lit("no place for recording file "), F.col("file"))).cast("bigint"))
+    derived = F.shiftleft(file_no, 40) + F.col("block") + F.col("nth")
     recorded = F.get_json_object("value", "$.seq").try_cast("bigint")
     return envelopes(placed.select(F.coalesce(recorded, derived).alias("seq"), "value"))
 
