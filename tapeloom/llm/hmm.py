@@ -188,13 +188,26 @@ def train(docs: DataFrame, states: int = 4, symbols: int = 4096, head_words: int
     """``docs``: id, text. Bounded on the driver: ``head_words`` counts, ``seed_texts`` texts and the model."""
     counts = staged(word_counts(docs), "counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = counts.orderBy(F.desc("c"), "word").limit(head_words).collect()
+    # Counts in steps of a sixteenth of an octave (a bounded histogram): whole steps from the top, as many as head_words holds.
+    # So only rows of the head leave the tasks; all other words follow by the join.
+    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    held, least = 0, total + 1
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > head_words:
+            break
+        least = r["c"]
+    top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(head_words).collect()
     head = {bytes(r["word"]): r["c"] for r in top}
     code = {w: i for i, w in enumerate(list(head)[:symbols])}
     rare = len(code)
     share = np.array([head[w] for w in code] + [max(1, total - sum(head[w] for w in code))], float) + 0.1
     share /= share.sum()
-    seed = [r["text"] for r in docs.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(2 * seed_texts).collect() if not is_held_out(r["id"])][:seed_texts]
+    # About four times the rows that are needed leave the tasks, whatever the number of tasks.
+    span = 1 << 40
+    draw, bound = F.pmod(F.xxhash64("id", "text"), F.lit(span)), min(1.0, 8 * seed_texts / max(1, docs.count())) * span
+    drawn = docs.where(draw < int(bound) + 1).orderBy(draw, "id").limit(2 * seed_texts).collect()
+    seed = [r["text"] for r in drawn if not is_held_out(r["id"])][:seed_texts]
     model = Model.first(states, share)
     for _ in range(seed_passes if seed else 0):
         model = Model.of_counts(*expected(model, _coded(seed, code, rare))[:3], share)
