@@ -17,15 +17,19 @@ whose k-gram occurs elsewhere too.
 
 Texts are identified by a 128-bit hash of their bytes, so exact copies take part once; a text with copies repeats as a
 whole. Null text counts as empty text. Ids may be null or repeated; other columns are ignored.
+
+:func:`remove_passages` also cuts passages of more than ``words`` whole words, however short: every such passage has at least
+2 ``words`` + 1 bytes, so it lies within a repeat of that length, and within those the windows of ``words`` + 1 words are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.tables import staged
@@ -33,6 +37,8 @@ from tapeloom.runtime import ship
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Powers:
@@ -190,6 +196,16 @@ def _joined_runs(places: list[int], left: int, right: int) -> list[tuple[int, in
     return runs
 
 
+def _merged() -> Column:
+    """All rows' spans of a group, sorted and disjoint."""
+    return F.aggregate(
+        F.sort_array(F.collect_set(F.struct("start", "stop"))), F.array().cast("array<struct<start:bigint,stop:bigint>>"),
+        lambda done, s: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] >= s["start"]), F.concat(
+            F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"),
+                                                                 F.greatest(F.get(done, F.size(done) - 1)["stop"], s["stop"]).alias("stop")))))
+        .otherwise(F.concat(done, F.array(s))))
+
+
 class Repeats:
     """One run over a table."""
 
@@ -318,14 +334,8 @@ class Repeats:
         """k1, k2, copies (texts of the class) and spans (sorted, disjoint) of every class of equal texts that has any to remove."""
         copies = staged(self.docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("first")), "copies")
         spans = self.spans(copies)
-        merged = F.aggregate(
-            F.sort_array(F.collect_set(F.struct("start", "stop"))), F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-            lambda done, s: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] >= s["start"]), F.concat(
-                F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"),
-                                                                     F.greatest(F.get(done, F.size(done) - 1)["stop"], s["stop"]).alias("stop")))))
-            .otherwise(F.concat(done, F.array(s))))
         # A text's spans: bounded by its own anchors.
-        by_text = staged(spans.groupBy("k1", "k2").agg(merged.alias("spans")), "spans")
+        by_text = staged(spans.groupBy("k1", "k2").agg(_merged().alias("spans")), "spans")
         return copies.join(by_text, ["k1", "k2"], "left").where("copies > 1 OR spans IS NOT NULL").select("k1", "k2", "copies", "spans")
 
 
@@ -355,6 +365,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", *
     """``docs`` with repeated strings cut out of ``text_col``; characters that are only partly covered stay."""
     others = [c for c in docs.columns if c != text_col]
     rows = _with_runs(docs, length, text_col, others, **options)
+    return _without(docs, rows, text_col, lambda data, copies, spans: removals(data, copies, spans, length))
+
+
+def _without(docs: DataFrame, rows: DataFrame, text_col: str, runs_of) -> DataFrame:
+    """``docs`` with the runs of each of ``rows`` cut out, whole characters only."""
+    others = [c for c in docs.columns if c != text_col]
 
     def run(it):
         for batch in it:
@@ -362,7 +378,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", *
             for text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("_text", "_copies", "spans"))):
                 data = text.encode()
                 runs = []
-                for a, b in removals(data, copies, spans, length):
+                for a, b in runs_of(data, copies, spans):
                     while a < b and data[a] & 0xC0 == 0x80:
                         a += 1
                     while a < b < len(data) and data[b] & 0xC0 == 0x80:
@@ -375,6 +391,96 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", *
     return rows.mapInArrow(run, schema).select(*docs.columns)
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ASCII white space, without punctuation around them (a word of punctuation alone is kept)."""
+    starts, ends = [], []
+    for m in WORD.finditer(data):
+        a, b = m.span()
+        word = m[0]
+        if inner := word.strip(PUNCTUATION):
+            a += len(word) - len(word.lstrip(PUNCTUATION))
+            b = a + len(inner)
+        starts.append(a)
+        ends.append(b)
+    return np.array(starts, np.int64), np.array(ends, np.int64)
+
+
+def _passages(run: Repeats, found: DataFrame, words: int, length: int) -> DataFrame:
+    """(k1, k2, start, stop) of all repeated windows of ``words`` + 1 words, and of all repeats of ``length`` bytes.
+
+    ``found``: the repeats of 2 ``words`` + 1 bytes. Both kinds lie within one of its spans, so only those are searched.
+    """
+    inside = staged(run.docs.join(found.where("spans IS NOT NULL").select("k1", "k2", "spans"), ["k1", "k2"]).select("k1", "k2", "text", "spans")
+                    .dropDuplicates(["k1", "k2"]), "inside")
+
+    def windows(it):
+        for batch in it:
+            for k1, k2, text, spans in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "spans"))):
+                data = text.encode()
+                starts, ends = word_bounds(data)
+                rows = []
+                for s in spans:
+                    low, high = int(np.searchsorted(starts, s["start"])), int(np.searchsorted(ends, s["stop"], "right"))
+                    for a, b in zip(starts[low:high - words].tolist(), ends[low + words:high].tolist()):
+                        h = hashlib.blake2b(data[a:b], digest_size=16).digest()
+                        rows.append((h, a, b))
+                if rows:
+                    h, a, b = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(np.full(len(h), k1)), pa.array(np.full(len(h), k2)), pa.array(a, pa.int64()),
+                                                      pa.array(b, pa.int64())], names=["window", "k1", "k2", "start", "stop"])
+
+    every = staged(inside.mapInArrow(windows, "window binary, k1 long, k2 long, start long, stop long"), "word-windows")
+    occurrence = F.xxhash64("k1", "k2", "start")
+    twice = every.groupBy("window").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).where("a <> b").select("window")
+    by_words = every.join(twice, "window").select("k1", "k2", "start", "stop")
+
+    def pieces(it):
+        for batch in it:
+            rows = []
+            for k1, k2, text, spans in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "spans"))):
+                data = text.encode()
+                for a, b in ((s["start"], s["stop"]) for s in spans if s["stop"] - s["start"] >= length):
+                    while data[a] & 0xC0 == 0x80:  # whole characters: strings are at least the span
+                        a -= 1
+                    while b < len(data) and data[b] & 0xC0 == 0x80:
+                        b += 1
+                    rows.append((k1, k2, a, data[a:b].decode()))
+            if rows:
+                k1, k2, at, text = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int64()), pa.array(text, pa.string())],
+                                                 names=["t1", "t2", "at", "text"])
+
+    cut = staged(inside.mapInArrow(pieces, "t1 long, t2 long, at long, text string").withColumn("doc_id", F.monotonically_increasing_id()), "pieces")
+    long = Repeats(cut, length)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop")))
+    spans = (cut.select("t1", "t2", "at", "text", *long.keys).join(long.covered(), ["k1", "k2"])
+             .where((F.col("copies") > 1) | F.col("spans").isNotNull())
+             .select("t1", "t2", "at", F.explode(F.when(F.col("copies") > 1, whole).otherwise(F.col("spans"))).alias("s")))
+    by_bytes = spans.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.stop")).alias("stop"))
+    return by_words.unionByName(by_bytes)
+
+
+def remove_passages(docs: DataFrame, words: int = 50, length: int = 400, text_col: str = "text", gram: int = 32, **options) -> DataFrame:
+    """``docs`` without repeated strings of ``length`` bytes or more and without repeated passages of more than ``words`` whole words."""
+    shortest = 2 * words + 1
+    if length < shortest:
+        raise ValueError("length must be at least 2 words + 1")
+    run = Repeats(docs, shortest, min(gram, shortest), text_col=text_col, **options)
+    found = staged(run.covered(), "covered-short")
+    by_text = staged(_passages(run, found, words, length).groupBy("k1", "k2").agg(_merged().alias("spans")), "passages")
+    runs = found.select("k1", "k2", "copies").join(by_text, ["k1", "k2"], "left")
+    others = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *run.keys)
+    rows = keyed.join(runs, ["k1", "k2"], "left").select(*others, "_text", F.coalesce("copies", F.lit(1)).alias("_copies"), "spans")
+
+    def runs_of(data: bytes, copies: int, spans: list) -> list[tuple[int, int]]:
+        if copies > 1 and (len(data) >= length or len(WORD.findall(data)) > words):
+            return [(0, len(data))]
+        return [(s["start"], s["stop"]) for s in spans or []]
+
+    return _without(docs, rows, text_col, runs_of)
+
+
 def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows = _with_runs(docs, length, text_col, [id_col], **options)

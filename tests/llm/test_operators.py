@@ -143,6 +143,34 @@ def test_repeats_of_documents(docs):
     assert as_bag(suffix_repeats.digests(docs, 400)) == brute_repeats(texts_of(docs), 400)
 
 
+def test_repeated_passages(spark):
+    rng = random.Random(11)
+    new = lambda n, size=4: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+    passage, short, left, middle, right, wide, note = new(51), new(50), new(25), new(15), new(25), new(10, 60), new(51, 1)
+    assert len(passage) < 400 < len(wide) and len(note) == 101
+    bodies = [[passage], [passage], [short], [short], [left + " " + middle + " " + right], [left + " " + middle], [middle + " " + right], [wide], [wide], [note], [note]]
+    texts = [f"{new(30)} {b} {new(30)}" for (b,) in bodies] + [f"{new(60)}. ({passage}, {new(60)}", new(55)]
+    rows = list(enumerate([*texts, texts[-1], "é" * 30, None]))
+    got = {r["doc_id"]: r["text"] for r in suffix_repeats.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(passage not in got[i] and len(got[i].split()) == 60 for i in (0, 1))
+    assert passage not in got[11] and len(got[11].split()) == 121  # punctuation around a passage is no part of it
+    assert all(got[i] == rows[i][1] for i in (2, 3, 4, 5, 6))  # 50 words, and two overlapping repeats of 40 words
+    assert all(wide not in got[i] and len(got[i].split()) == 59 for i in (7, 8))  # 400 bytes: with the spaces around
+    assert all(note not in got[i] and len(got[i].split()) == 60 for i in (9, 10))
+    assert got[12] == got[13] == "" and got[14] == "é" * 30 and not got[15]
+
+
+def test_pipeline_cuts_short_passages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    new = lambda n: " ".join(str(rng.randrange(1000, 9999)) for _ in range(n))
+    passage = new(51)
+    rows = [(i, f"{new(80)} {passage} {new(80)}", 0) for i in range(2)]
+    out = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()
+    assert all(passage not in r["text"] and r["n_chars"] == len(r["text"]) for r in out)
+
+
 def test_quality_statistics(edge_docs, docs):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
