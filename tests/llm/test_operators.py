@@ -353,6 +353,40 @@ def test_network_learns():
     assert (found & (labels[450:] == 0)).mean() < 0.05
 
 
+def secret_rows(rng, n):
+    new = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    words = ["international", "communication", "responsibility", "understanding", "small", "house", "river", "walks", "transportation"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(12))
+    kinds = [lambda: "AKIA" + new("ABCDEFGHIJKLMNOP0123456789", 16), lambda: new("0123456789abcdef", 32),
+             lambda: "token=" + new("ABCDEFGHIJKLMabcdefghijklm0123456789", 24), lambda: ""]
+    return [f"{prose()} {rng.choice(kinds)()} {prose()}" for _ in range(n)]
+
+
+def test_network_finds_other_secrets(spark):
+    rng = random.Random(13)
+    texts = secret_rows(rng, 600)
+    unknown = ["xK9" + "".join(rng.choice("ABCDEFGHIJKLMabcdefghijklm0123456789") for _ in range(25)) for _ in range(40)]
+    texts += [f"small house {u} river walks" for u in unknown[:20]]
+    # The sample holds them too, and they are not taught as clean.
+    assert not any(u in "".join(w) for t in texts for w, _, _ in secrets.labelled(t, {"international"}) for u in unknown)
+    assert [t[a:b] for t in ["a abcdefghijkl 123456789012 b"] for a, b in secrets.candidates(t)] == ["abcdefghijkl", "123456789012"]
+    net = secrets.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for kind in ("assign", "access", "hex"):
+        assert net.kinds[kind][1] and net.kinds[kind][0] >= 0.85 * net.kinds[kind][1]
+    found = secrets.scan([f"small house {u} river walks" for u in unknown], net)
+    assert sum(s == [("network", 12, 40)] for s in found) >= 30
+    assert net.kinds["plain"][0] <= 0.02 * net.kinds["plain"][1]
+
+
+def test_threshold_keeps_recall():
+    net = secrets.Network()
+    rng = random.Random(14)
+    windows = ["".join(rng.choice("abcdef012345") for _ in range(64)) for _ in range(400)]
+    labels = np.array([1.0] * 20 + [0.0] * 380)  # few positives that look like all others: all calibrated scores are far below 0.5
+    net.calibrate(windows, labels, 0.95)
+    assert (net.probability(windows)[:20] >= net.threshold).mean() >= 0.95
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
