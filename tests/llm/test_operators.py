@@ -378,6 +378,23 @@ def test_network_finds_other_secrets(spark):
     assert net.kinds["plain"][0] <= 0.02 * net.kinds["plain"][1]
 
 
+def test_network_reads_whole_runs(spark):
+    rng = random.Random(15)
+    key = "".join(rng.choice("ABCDEFGHIJKLMabcdefghijklm0123456789") for _ in range(28))
+    path = "small/house/of/the/river/" * 6
+    text = f"walks {path}{key} right context"
+    (a, b), = secrets.candidates(text)
+    (seen,) = secrets.windows(text, [(a, b)])
+    assert any(key in w for w in seen) and seen[-1].endswith(" right context")
+    assert all(any(text[i:i + 30] in w for w in seen) for i in range(a, b - 30))
+    net = secrets.train(spark.createDataFrame([(t,) for t in secret_rows(rng, 600)], "text string"))
+    clean = f"walks {path} right context"
+    with_key, without = (float(net.best(secrets.windows(t, secrets.candidates(t)))[0]) for t in (text, clean))
+    assert with_key > without + 1
+    net.threshold = float(net.chance(np.array([(with_key + without) / 2]))[0])
+    assert secrets.scan([text, clean], net) == [[("network", a, b)], []]
+
+
 def test_threshold_keeps_recall():
     net = secrets.Network()
     rng = random.Random(14)
