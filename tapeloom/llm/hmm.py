@@ -1,9 +1,10 @@
 """Hidden Markov language model over words, trained and applied across partitions.
 
-Training counts of all words come first (one shuffle of per-batch counts). The ``symbols`` most frequent words are emitted by
-the states directly; every other word is emitted through one rare symbol, which shares its probability by the words' counts:
-P(word | rare) = (c + 0.1) / (N_rare + 0.1 (V_rare + 1)). So the model has a fixed size, while the counts it uses grow with the
-corpus and are joined, not broadcast.
+Every training word has its own emission probability in every state: the expected count of (word, state), a row of a table
+summed by word, smoothed by the word's share of the corpus (c + 0.1) / (N + 0.1 (V + 1)), which weighs as much as the distinct words V (Witten and
+Bell) so that rare words seen in one state stay possible in the others; an unknown word has the share of c = 0. Only the way to
+the tasks differs: the counts of the at most ``head_words`` most frequent words are broadcast, all others are joined to the texts
+that hold them. Texts are coded once.
 
 Baum-Welch: each pass computes expected counts per partition and sums them in one aggregation. Texts are cut into segments; the
 transfer matrix of each segment is made for all segments at once, products along a text give the exact forward and
@@ -154,11 +155,6 @@ def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return start, move, emit, float(logs.sum())
 
 
-def _coded(texts: list[str | None], code: dict[bytes, int], rare: int) -> list[np.ndarray]:
-    get = code.get
-    return [np.array([get(w, rare) for w in tokens_of(t)], np.int32) for t in texts]
-
-
 def _parts(batch: pa.RecordBatch, rows: int = 256):
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -177,15 +173,102 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Emissions:
+    """Expected emission counts of the head and totals of all words by state: what gives any word's probabilities with its own counts."""
+
+    def __init__(self, head: np.ndarray, share: np.ndarray, sums: np.ndarray, unit: float, weight: float):
+        self.head, self.share, self.sums, self.unit, self.weight = head, share, sums, unit, weight  # head: word, state
+
+    def rows(self, codes: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probabilities (symbol, state) of head codes, or of tail words (code - head size is a place in ``c`` and ``n``)."""
+        size = len(self.head)
+        head = codes < size
+        out = np.empty((len(codes), len(self.sums)))
+        out[head] = self.head[codes[head]] + self.weight * self.share[codes[head], None]
+        at = codes[~head] - size
+        out[~head] = n[at] + self.weight * self.unit * (c[at, None] + 0.1)
+        return out / (self.sums + self.weight)
+
+
+def _local(start: np.ndarray, move: np.ndarray, emissions: Emissions, codes: list[np.ndarray], c: list[np.ndarray], n: list[np.ndarray]):
+    """A model over the words of some texts, the texts in its symbols, and the codes of the symbols (tail words: by text)."""
+    size, at, moved = len(emissions.head), 0, []
+    for text, tail in zip(codes, c):
+        moved.append(np.where(text < size, text, text + at))
+        at += len(tail)
+    used, inverse = np.unique(np.concatenate(moved), return_inverse=True)
+    probabilities = emissions.rows(used, np.concatenate(c), np.concatenate(n))
+    texts = np.split(inverse, np.cumsum([len(t) for t in moved])[:-1])
+    return Model(start, move, probabilities.T), texts, used
+
+
+def _lists(part: pa.RecordBatch, states: int):
+    """Codes, and counts and wids of the tail words, of each text of a batch."""
+    codes = [np.frombuffer(x, np.int32) for x in part.column("codes").to_pylist()]
+    tail = part.column("tail")
+    sizes = np.array([0 if x is None else x for x in tail.value_lengths().to_pylist()], np.int64)
+    flat = dict(zip([f.name for f in tail.type.value_type], tail.flatten().flatten()))
+    value = lambda name: flat[name].fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((value("j"), np.repeat(np.arange(len(sizes)), sizes)))
+    cuts = np.cumsum(sizes)[:-1]
+    cut = lambda values: np.split(values[order], cuts)
+    n = np.stack([value(f"n{s}") for s in range(states)], 1) if "n0" in flat else np.zeros((len(order), states))
+    return codes, cut(value("c").astype(float)), cut(value("wid")), cut(n)
+
+
 class Trained:
-    """A model with the counts it was made from."""
+    """A model with what scoring joins: ``ready`` has the coded texts, ``tail`` their words outside the head with their counts."""
+
+    def __init__(self, start, move, emissions: Emissions, head: dict[bytes, int], ready: DataFrame, total: int, distinct: int):
+        self.start, self.move, self.emissions, self.head, self.ready, self.total, self.distinct = start, move, emissions, head, ready, total, distinct
 
-    def __init__(self, model: Model, head: dict[bytes, int], code: dict[bytes, int], counts: DataFrame, total: int, distinct: int):
-        self.model, self.head, self.code, self.counts, self.total, self.distinct = model, head, code, counts, total, distinct
 
+def coded(docs: DataFrame, head: dict[bytes, int], counts: DataFrame) -> DataFrame:
+    """row, id, held_out, draw, codes and tail of every text; a tail word has its place j in the text's list, count and wid (null: unknown)."""
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)})
+    id_type = docs.schema["id"].dataType.simpleString()
 
-def train(docs: DataFrame, states: int = 4, symbols: int = 4096, head_words: int = 65_536, passes: int = 2, seed_texts: int = 400, seed_passes: int = 12) -> Trained:
-    """``docs``: id, text. Bounded on the driver: ``head_words`` counts, ``seed_texts`` texts and the model."""
+    def run(it):
+        code = sent.value
+        size = len(code)
+        for batch in it:
+            for part in _parts(batch):
+                ids, codes, words = part.column("id").to_pylist(), [], []
+                for text in part.column("text").to_pylist():
+                    own: dict[bytes, int] = {}
+                    got = []
+                    for w in tokens_of(text):
+                        at = code.get(w)
+                        got.append(size + own.setdefault(w, len(own)) if at is None else at)
+                    codes.append(np.array(got, np.int32).tobytes())
+                    words.append(list(own))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("draw"), pa.array([is_held_out(i) for i in ids]), pa.array(codes, pa.binary()),
+                                                  pa.array(words, pa.list_(pa.binary()))], names=["id", "draw", "held_out", "codes", "words"])
+
+    half = docs.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)).alias("draw")).mapInArrow(
+        run, f"id {id_type}, draw long, held_out boolean, codes binary, words array<binary>")
+    # Numbered once, in the staged table: rows may repeat.
+    half = staged(half.withColumn("row", F.monotonically_increasing_id()), "coded")
+    words = half.select("row", F.posexplode("words").alias("j", "word")).join(counts, "word", "left").select("row", "j", "wid", F.coalesce("c", F.lit(0)).alias("c"))
+    return staged(half.drop("words").join(_listed(words), "row", "left"), "ready")
+
+
+def _listed(words: DataFrame) -> DataFrame:
+    """One list for each text: bounded by its own words."""
+    return words.groupBy("row").agg(F.collect_list(F.struct(*(c for c in words.columns if c != "row"))).alias("tail"))
+
+
+def _with_counts(ready: DataFrame, table: DataFrame | None) -> DataFrame:
+    """``ready`` with the expected counts of its tail words."""
+    if table is None:
+        return ready
+    words = ready.select("row", F.explode("tail").alias("w")).select("row", "w.j", "w.wid", "w.c")
+    return ready.drop("tail").join(_listed(words.join(table, "wid", "left")), "row", "left")
+
+
+def train(docs: DataFrame, states: int = 4, symbols: int | None = None, head_words: int = 65_536, passes: int = 2, seed_texts: int = 400, seed_passes: int = 12) -> Trained:
+    """``docs``: id, text. Bounded on the driver: counts of ``head_words`` words (or ``symbols``, if fewer) and ``seed_texts`` texts."""
+    head_words = min(head_words, symbols or head_words)
     counts = staged(word_counts(docs), "counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     # Counts in steps of a sixteenth of an octave (a bounded histogram): whole steps from the top, as many as head_words holds.
@@ -199,43 +282,75 @@ def train(docs: DataFrame, states: int = 4, symbols: int = 4096, head_words: int
         least = r["c"]
     top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(head_words).collect()
     head = {bytes(r["word"]): r["c"] for r in top}
-    code = {w: i for i, w in enumerate(list(head)[:symbols])}
-    rare = len(code)
-    share = np.array([head[w] for w in code] + [max(1, total - sum(head[w] for w in code))], float) + 0.1
-    share /= share.sum()
+    size = len(head)
+    unit = 1 / (total + 0.1 * (distinct + 1))
+    share = (np.array(list(head.values()), float) + 0.1) * unit
+    # Head words by their rank, all others by numbers beyond it.
+    ready = coded(docs, head, staged(counts.where(F.col("c") < least).select("word", "c", (F.monotonically_increasing_id() + size).alias("wid")), "tail-words"))
     # About four times the rows that are needed leave the tasks, whatever the number of tasks.
-    span = 1 << 40
-    draw, bound = F.pmod(F.xxhash64("id", "text"), F.lit(span)), min(1.0, 8 * seed_texts / max(1, docs.count())) * span
-    drawn = docs.where(draw < int(bound) + 1).orderBy(draw, "id").limit(2 * seed_texts).collect()
-    seed = [r["text"] for r in drawn if not is_held_out(r["id"])][:seed_texts]
-    model = Model.first(states, share)
-    for _ in range(seed_passes if seed else 0):
-        model = Model.of_counts(*expected(model, _coded(seed, code, rare))[:3], share)
-    shared = docs.sparkSession.sparkContext.broadcast
+    bound = int(min(1.0, 8 * seed_texts / max(1, docs.count())) * (1 << 40)) + 1
+    seed = ready.where(~F.col("held_out") & (F.col("draw") < bound)).select("draw", "id", "row", "codes", "tail").orderBy("draw", "id", "row").limit(seed_texts).toArrow()
+    first = Model.first(states, np.ones(1))
+    start, move, sums = first.start, first.move, np.zeros(states)
+    emissions, known, tail_counts = Emissions(np.zeros((size, states)), share, sums, unit, 1.0), {}, np.zeros((0, states))
+    if seed.num_rows:
+        codes, c, wids, n = _lists(seed.combine_chunks().to_batches()[0], states)
+        every = np.concatenate(wids)
+        known = {w: i for i, w in enumerate(np.unique(every).tolist())}
+        index = np.array([known[w] for w in every.tolist()], np.int64)
+        tail_counts = np.zeros((len(known), states))
+        shake = None
+        for _ in range(seed_passes):
+            model, texts, used = _local(start, move, emissions, codes, c, np.split(tail_counts[index], np.cumsum([len(x) for x in c])[:-1]))
+            if shake is None:  # one and the same word has one factor a state
+                rng = np.random.default_rng(5)
+                shake = rng.uniform(0.5, 1.5, (size + len(known), states))
+                at = used.copy()
+                at[used >= size] = size + index[used[used >= size] - size]
+                model.emit = model.emit * shake[at].T
+            got_start, got_move, got, _ = expected(model, texts)
+            start, move = (got_start + 0.1) / (got_start + 0.1).sum(), (got_move + 0.1) / (got_move + 0.1).sum(1, keepdims=True)
+            counts_head, tail_counts = np.zeros((size, states)), np.zeros((len(known), states))
+            counts_head[used[used < size]] = got.T[used < size]
+            np.add.at(tail_counts, index[used[used >= size] - size], got.T[used >= size])
+            emissions = Emissions(counts_head, share, got.sum(axis=1), unit, float(np.count_nonzero(counts_head.any(axis=1)) + len(known)))
+    spark = docs.sparkSession
+    columns = [f"n{s}" for s in range(states)]
+    # The seed texts' counts are the first table; words outside them have none yet.
+    seen = [(w, *map(float, tail_counts[i])) for w, i in known.items() if w]
+    table = spark.createDataFrame(seen, "wid long, " + ", ".join(f"{c} double" for c in columns))
     for _ in range(passes):
-        sent = shared((model, code))
+        sent = spark.sparkContext.broadcast((start, move, emissions))
 
         def run(it):
-            model, code = sent.value
-            sums = None
+            start, move, emissions = sent.value
+            sums, heads = np.zeros((states + 1, states)), np.zeros_like(emissions.head)
+            schema = ["wid", *columns]
             for batch in it:
                 for part in _parts(batch):
-                    texts = [t for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist()) if not is_held_out(i)]
-                    if texts:
-                        got = expected(model, _coded(texts, code, rare))[:3]
-                        sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
-            if sums is not None:
-                flat = np.concatenate([x.ravel() for x in sums])
-                some = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["at", "value"])
-
-        flat = np.zeros(states + states * states + states * (rare + 1))
-        for r in docs.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-            flat[r["at"]] = r["value"]
-        cut = [states, states + states * states]
-        model = Model.of_counts(flat[:cut[0]], flat[cut[0]:cut[1]].reshape(states, states), flat[cut[1]:].reshape(states, -1), share)
+                    codes, c, wids, n = _lists(part, states)
+                    model, texts, used = _local(start, move, emissions, codes, c, n)
+                    got_start, got_move, got, _ = expected(model, texts)
+                    head_here = used < len(heads)
+                    sums += np.vstack([got_start, got_move])
+                    heads[used[head_here]] += got.T[head_here]
+                    wid = np.concatenate(wids)[used[~head_here] - len(heads)]
+                    yield pa.RecordBatch.from_arrays([pa.array(wid), *(pa.array(x) for x in got[:, ~head_here])], names=schema)
+            some = np.flatnonzero(heads.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, -1 - np.arange(states + 1)])), *(pa.array(x) for x in np.vstack([heads[some], sums]).T)], names=schema)
+
+        found = _with_counts(ready.where("NOT held_out"), table).select("codes", "tail").mapInArrow(run, "wid long, " + ", ".join(f"{c} double" for c in columns))
+        table = staged(found.groupBy("wid").agg(*(F.sum(c).alias(c) for c in columns)), "emissions")
+        sums = np.array([x or 0.0 for x in table.where("wid >= 0").agg(*(F.sum(c) for c in columns)).first()])
+        small = table.where(F.col("wid") < size).toArrow()
+        wid, values = small["wid"].to_numpy(), np.stack([small[c].to_numpy() for c in columns], 1)
+        heads, extra = np.zeros((size, states)), np.zeros((states + 1, states))
+        heads[wid[wid >= 0]] = values[wid >= 0]
+        extra[-1 - wid[wid < 0]] = values[wid < 0]
+        start, move = (extra[0] + 0.1) / (extra[0] + 0.1).sum(), (extra[1:] + 0.1) / (extra[1:] + 0.1).sum(1, keepdims=True)
+        emissions = Emissions(heads, share, sums, unit, float(distinct))
         sent.destroy()
-    return Trained(model, head, code, counts, total, distinct)
+    return Trained(start, move, emissions, head, _with_counts(ready, table), total, distinct)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -244,49 +359,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     trained = train(rows, **options)
-    model, total, distinct, code = trained.model, trained.total, trained.distinct, trained.code
-    rare = len(code)
-    rare_total = total - sum(trained.head[w] for w in code)
-    rare_log = math.log10(rare_total + 0.1 * (distinct - rare + 1))
-    base_log = math.log10(total + 0.1 * (distinct + 1))
-    sent = spark.sparkContext.broadcast((model, code, trained.head))
+    total, states = trained.total, len(trained.start)
+    base_log = math.log10(total + 0.1 * (trained.distinct + 1))
+    sent = spark.sparkContext.broadcast((trained.start, trained.move, trained.emissions, np.array(list(trained.head.values()), float)))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(it):
-        model, code, head = sent.value
-        log_of = {w: math.log10(c + 0.1) for w, c in head.items()}
+        start, move, emissions, head = sent.value
+        log_of = np.log10(head + 0.1)
         for batch in it:
             for part in _parts(batch):
-                texts = part.column("text").to_pylist()
-                logs, _ = forward(model, _coded(texts, code, rare))
-                ids = part.column("id")
-                out = {"known": [], "tokens": [], "base": [], "rare": [], "words": [], "times": []}
-                for text in texts:
-                    words = Counter(tokens_of(text))
-                    tail = {w: n for w, n in words.items() if w not in head}
-                    out["known"].append(sum(n for w, n in words.items() if w in head))
-                    out["tokens"].append(sum(words.values()))
-                    out["base"].append(sum(n * log_of[w] for w, n in words.items() if w in head))
-                    # Rare symbols whose counts are at hand; the others follow by the join.
-                    out["rare"].append(sum(n * (log_of[w] - rare_log) for w, n in words.items() if w in head and w not in code)
-                                       - rare_log * sum(tail.values()))
-                    out["words"].append(list(tail))
-                    out["times"].append(list(tail.values()))
+                codes, c, _, n = _lists(part, states)
+                model, texts, _ = _local(start, move, emissions, codes, c, n)
+                logs, _ = forward(model, texts)
+                known, base = [], []
+                for text, own in zip(codes, c):
+                    tail = own[text[text >= len(head)] - len(head)]
+                    inside = text[text < len(head)]
+                    known.append(len(inside) + int((tail > 0).sum()))
+                    base.append(log_of[inside].sum() + np.log10(tail + 0.1).sum() - len(text) * base_log)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([is_held_out(i) for i in ids.to_pylist()]), pa.array(out["tokens"], pa.int64()), pa.array(out["known"], pa.int64()),
-                     pa.array(out["base"], pa.float64()), pa.array(logs / math.log(10) + np.array(out["rare"])),
-                     pa.array(out["words"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int64()))],
-                    names=["id", "held_out", "n_tokens", "known", "base", "hmm", "words", "times"])
+                    [part.column("id"), part.column("held_out"), pa.array([len(t) for t in codes], pa.int64()), pa.array(known, pa.int64()),
+                     pa.array(np.full(len(codes), total)), pa.array(base, pa.float64()), pa.array(logs / math.log(10))],
+                    names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    half = rows.mapInArrow(run, f"id {id_type}, held_out boolean, n_tokens long, known long, base double, hmm double, words array<binary>, times array<long>")
-    # Numbered once, in the staged table: rows may repeat.
-    half = staged(half.withColumn("row", F.monotonically_increasing_id()), "half")
-    tail = half.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    sums = (tail.join(trained.counts, "word", "left").groupBy("row")
-            .agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("found"), F.sum(F.col("n") * F.log10(c + 0.1)).alias("logs")))
-    out = half.drop("words", "times").join(sums, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-                      F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * base_log).alias("base_score"),
-                      (F.col("hmm") + logs).alias("score"))
+    return trained.ready.select("id", "held_out", "codes", "tail").mapInArrow(
+        run, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -353,6 +353,20 @@ def test_network_learns():
     assert (found & (labels[450:] == 0)).mean() < 0.05
 
 
+def test_rare_words_carry_states(spark):
+    # Two kinds of texts of their own rare words: which words stand together is known only if all words have states.
+    rng = random.Random(16)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "ab"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(40))) for i in range(600)]
+    mixed = [(10_000 + i, " ".join(rng.choice(kinds[j % 2]) for j in range(40))) for i in range(200)]
+    df = spark.createDataFrame(rows + [m for m in mixed if hmm.is_held_out(m[0])], "doc_id long, text string")
+    for head_words in (8, 65_536):
+        got = [r for r in hmm.score(df, head_words=head_words).collect() if r["held_out"]]
+        gain = lambda some: np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in some])
+        assert gain([r for r in got if r["doc_id"] < 10_000]) > 0.2
+        assert gain([r for r in got if r["doc_id"] >= 10_000]) < 0.1
+
+
 def secret_rows(rng, n):
     new = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     words = ["international", "communication", "responsibility", "understanding", "small", "house", "river", "walks", "transportation"]
