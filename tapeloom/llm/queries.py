@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, hmm, minhash, packing, quality_rules, secrets, suffix_repeats, token_count, topk, trie_bpe, whitening
+from tapeloom.llm import chat, hmm, minhash, packing, quality_rules, repair, secrets, suffix_repeats, token_count, topk, trie_bpe, whitening
 from tapeloom.llm.tables import staged, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -108,14 +108,81 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+# Per conversation one row of costs, audits and repaired lines by place (nothing yet, after s, after u, after a): two steps of inserts
+# and one row, in turn. A cell is cost (12 digits), audit, "|", lines; the least cell of a place is the cheapest, then ASCII-least.
+_CELL = "lpad(CAST(CAST(left({0}, 12) AS BIGINT) + {1} AS VARCHAR), 12, '0') || substr({0}, 13, strpos({0}, '|') - 13) || '{2}' || substr({0}, strpos({0}, '|')){3}"
+
+
+def _cell(place: str, cost: str, letter: str, line: str = "") -> str:
+    return _CELL.format(place, cost, letter, f" || CASE WHEN strpos({place}, '|') = length({place}) THEN '' ELSE chr(10) END || {line}" if line else "")
+
+
+_TO_USER = [_cell(p, "3", "I", "'user:'") for p in ("p0", "p1", "p3")]
+_STEP = {p: f"CASE WHEN m.part < 2 THEN {ins} ELSE least({', '.join(row)}) END" for p, ins, row in [
+    ("p0", "p0", [_cell("p0", "4", "D")]),
+    ("p1", "p1", [_cell("p1", "4", "D"), f"CASE WHEN m.initial = 's' AND NOT m.gone THEN {_cell('p0', 'm.cut', 'K', 'm.line')} END"]),
+    ("p2", f"least(p2, {', '.join(_TO_USER)})",
+     [_cell("p2", "4", "D"), *(f"CASE WHEN m.initial = 'u' AND NOT m.gone THEN {_cell(p, 'm.cut', 'K', 'm.line')} END" for p in ("p0", "p1", "p3")),
+      *(f"CASE WHEN NOT m.gone THEN {_cell(p, '3 + m.cut', 'R', chr(39) + 'user:' + chr(39) + ' || m.text')} END" for p in ("p0", "p1", "p3"))]),
+    ("p3", f"least(p3, {_cell('p2', '3', 'I', chr(39) + 'assistant:' + chr(39))})",
+     [_cell("p3", "4", "D"), f"CASE WHEN m.initial = 'a' AND NOT m.gone THEN {_cell('p2', 'm.cut', 'K', 'm.line')} END",
+      f"CASE WHEN NOT m.gone THEN {_cell('p2', '3 + m.cut', 'R', chr(39) + 'assistant:' + chr(39) + ' || m.text')} END"])]}
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), list_transform(range(8), lambda z: CAST(z AS BIGINT))),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: CAST(ord(c) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS k
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM named, range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+  FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN shown = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair, i > 1 AS follows
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (follows AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv_id),
+m AS (
+  SELECT conv_id, 3 * i - 2 + part AS step, part, initial, fault IN (1, 2) AS gone, CASE fault WHEN 3 THEN 3 ELSE 0 END AS cut, text, role || ':' || text AS line
+  FROM marked, range(3) r(part)
+  UNION ALL SELECT conv_id, 3 * n + 1 + part, part, NULL, NULL, NULL, NULL, NULL FROM counts, range(2) r(part)),
+run AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS step, '000000000000|' AS p0, CAST(NULL AS VARCHAR) AS p1, CAST(NULL AS VARCHAR) AS p2, CAST(NULL AS VARCHAR) AS p3 FROM counts
+  UNION ALL
+  SELECT r.conv_id, m.step, {', '.join(_STEP.values())} FROM run r JOIN m ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.step = r.step + 1),
+ended AS (
+  SELECT c.*, least(p0, p3) AS won FROM counts c JOIN run r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.step = 3 * c.n + 2)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(left(won, 12) AS BIGINT), 0) AS cost, coalesce(substr(won, 13, strpos(won, '|') - 13), '') AS audit,
+  sha256(coalesce(substr(won, strpos(won, '|') + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
 QUERIES = [op1_token_counts, op2_minhash_near_dedup, op3_secret_scan, op4_reply_tree_chat, op5_quality_decision_list, op6_block_top_k,
-           op7_suffix_array_dedup, op8_best_fit_packing, op9_hidden_markov_scores, op10_bpe_trie, op12_embedding_whitening]
-SQL = {"op2_minhash_near_dedup": OP2_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_block_top_k": OP6_SQL}
+           op7_suffix_array_dedup, op8_best_fit_packing, op9_hidden_markov_scores, op10_bpe_trie, op11_conversation_repair,
+           op12_embedding_whitening]
+SQL = {"op2_minhash_near_dedup": OP2_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_block_top_k": OP6_SQL, "op11_conversation_repair": OP11_SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
