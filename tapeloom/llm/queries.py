@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, hmm, minhash, packing, quality_rules, repair, secrets, suffix_repeats, token_count, topk, trie_bpe, whitening
+from tapeloom.llm import (
+    chat, hmm, minhash, packing, personal, quality_rules, repair, secrets, suffix_repeats, token_count, topk, trie_bpe, whitening,
+)
 from tapeloom.llm.tables import staged, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -179,9 +181,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.digests(docs, personal.train(docs))
+
+
 QUERIES = [op1_token_counts, op2_minhash_near_dedup, op3_secret_scan, op4_reply_tree_chat, op5_quality_decision_list, op6_block_top_k,
            op7_suffix_array_dedup, op8_best_fit_packing, op9_hidden_markov_scores, op10_bpe_trie, op11_conversation_repair,
-           op12_embedding_whitening]
+           op12_embedding_whitening, op13_personal_data]
 SQL = {"op2_minhash_near_dedup": OP2_SQL, "op4_reply_tree_chat": OP4_SQL, "op6_block_top_k": OP6_SQL, "op11_conversation_repair": OP11_SQL}
 
 
