@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 ARABIC_YEH_KAF = ("يىك", "ییک")
 ZWNJ, RLM = "‌", "‏"
 
-# One flat JSON object, and one key with its raw value.
-_OBJECT = r'\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\}'
-_PAIR = r'"((?:[^"\\]++|\\.)*+)"\s*+:\s*+("(?:[^"\\]++|\\.)*+"|[^\s,{}"]++)'
+# A number that was written with a fraction or an exponent keeps that mark, so that it never passes for a whole number.
+_FRACTION, _EXPONENT = ".0", "E0"
 
 
-def objects(payload: Column) -> Column:
-    """Raw text of every object of a JSON array of flat objects; NULL when the payload is not such an array."""
-    valid = F.from_json(payload, "array<map<string,string>>").isNotNull() & F.trim(payload).startswith("[")
-    return F.when(valid, F.regexp_extract_all(payload, F.lit(_OBJECT), F.lit(0)))
+def elements(payload: Column) -> Column:
+    """The elements of a JSON array as variants; NULL when the payload is not a JSON array."""
+    return F.try_variant_get(F.try_parse_json(payload), "$", "array<variant>")
 
 
-def tokens(obj: Column) -> Column:
-    """Key -> raw token of a flat JSON object, numbers kept as written."""
-    keys, values = (F.regexp_extract_all(obj, F.lit(_PAIR), F.lit(g)) for g in (1, 2))
-    return F.map_from_arrays(keys, values)
+def token(value: Column) -> Column:
+    """The raw token of a JSON value: quoted text, digits, ``true``, ``null`` or the JSON of a nested value.
+
+    Trailing zeros of a fraction are lost; that there was one is not.
+    """
+    kind, written = F.schema_of_variant(value), F.to_json(value)
+    whole_decimal = kind.endswith(",0)") & kind.startswith("DECIMAL") & (F.length(F.ltrim(written, F.lit("-"))) < 19)
+    return (F.when(whole_decimal, F.concat(written, F.lit(_FRACTION)))
+            .when((kind == "DOUBLE") & ~written.contains("E"), F.concat(written, F.lit(_EXPONENT))).otherwise(written))
+
+
+def tokens(element: Column) -> Column:
+    """Key -> raw token of a JSON object, the last of repeated keys; NULL for any other value."""
+    return F.transform_values(F.try_variant_get(element, "$", "map<string,variant>"), lambda k, v: token(v))
 
 
 def quoted(token: Column) -> Column:

@@ -115,10 +115,10 @@ def pair_rows(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return out.join(b.select(F.col("row").alias("row_b"), F.col("raw").alias("raw_b")), "row_b")
 
 
-def field_values(joined: DataFrame) -> DataFrame:
-    """One row per pair and compared field, with the raw tokens and what they parse to."""
+def field_values(joined: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """One row per pair and compared field (all, or those named), with the raw tokens and what they parse to."""
     fields = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(n).alias("field"), F.lit(ka).alias("ka"), F.lit(kb).alias("kb"), F.lit(t).alias("is_text"))
-                       for g, n, ka, kb, t in FIELDS])
+                       for g, n, ka, kb, t in FIELDS if only is None or n in only])
     cells = F.transform(fields, lambda f: F.struct(
         f["group"].alias("group"), f["field"].alias("field"), f["is_text"].alias("is_text"),
         F.col("raw_a")[f["ka"]].alias("a"), F.col("raw_b")[f["kb"]].alias("b")))

@@ -54,7 +54,11 @@ class Feeds:
 
     @property
     def values(self) -> DataFrame:
-        return vendors.field_values(vendors.pair_rows(self.pairs, self.a, self.b))
+        """Every cell of every pair, parsed once for all reports on it."""
+        return self._shared("vendor-values", lambda: self.some_values(None))
+
+    def some_values(self, only: list[str] | None) -> DataFrame:
+        return vendors.field_values(vendors.pair_rows(self.pairs, self.a, self.b), only)
 
     @property
     def classified(self) -> DataFrame:
@@ -190,6 +194,17 @@ def _ingest(add) -> None:
     def shown(df: DataFrame) -> DataFrame:
         return df.select(*columns, "ingest_time", F.array_join("missing", ",").alias("missing"))
 
+    def left_out(f: Feeds) -> DataFrame:
+        def of(payloads: DataFrame, vendor: str) -> DataFrame:
+            return vendor_feeds.rejected(payloads).select(F.lit(vendor).alias("vendor"), "payload_no", "row", "reason", F.col("payload").alias("text"))
+
+        return of(bindings.payloads_a(f.spark, f.sf_dir), "a").unionByName(of(bindings.payloads_b(f.spark, f.sf_dir), "b"))
+
+    add("rejected_payloads", left_out, [PARTS], """SELECT vendor, no AS payload_no, x.row, x.reason, x.text FROM (
+  SELECT 'a' AS vendor, pk // 100 AS no, count(*) AS n FROM va GROUP BY ALL UNION ALL SELECT 'b', pk // 100, count(*) FROM vb GROUP BY ALL) p
+JOIN (VALUES (0, 'element is not a JSON object', '7'), (2, 'element is not a JSON object', '"x"'), (3, 'element is not a JSON object', '[{"id":1,"l18":"in a list"}]'),
+  (NULL, 'payload is not a JSON array', '{"successful":false,"rows":[{"id":1}]}')) v(k, reason, text) ON CASE WHEN k IS NULL THEN no % 4 = 0 ELSE no % 3 = 0 END
+CROSS JOIN LATERAL (SELECT n + k AS row, reason, text) x""")
     add("ingest_feed_a", lambda f: shown(vendor_feeds.ingest_a(f.a)), [PARTS], """SELECT code AS ins_code, symbol, CASE WHEN pk % 61 <> 0 THEN price END AS price_last,
   price AS price_close, price - 5 AS price_yesterday, CASE WHEN ok THEN price - 100 END AS price_limit_min, CASE WHEN ok THEN price + 100 END AS price_limit_max,
   pk % 50 AS trade_count, v AS volume, CASE WHEN NOT void THEN val END AS value, ib AS ind_buy_vol, v - ib + CASE WHEN pk % 27 = 0 THEN 7 ELSE 0 END AS inst_buy_vol,
@@ -285,11 +300,11 @@ UNION ALL SELECT DISTINCT 'b', unnest(['full_name', 'last_trade_date', 'last_tra
 
     def static(f: Feeds) -> DataFrame:
         """Judged at noon Tehran."""
-        return vendors.static_mismatch(vendors.field_stats(f.values), F.expr("TIMESTAMP'2024-01-01 08:30:00'"))
+        return vendors.static_mismatch(vendors.field_stats(f.some_values(vendors.STATIC_FIELDS)), F.expr("TIMESTAMP'2024-01-01 08:30:00'"))
 
     add("vendor_static_mismatch", static, [PARTS, CELLS],
         f"SELECT field, mismatch AS n FROM fstats WHERE mismatch > 0 AND field IN ({', '.join(repr(x) for x in vendors.STATIC_FIELDS)})")
-    add("vendor_volume_ahead", lambda f: vendors.volume_ahead(f.values), [PARTS, CELLS], """SELECT CASE WHEN sa <> 'ok' OR sb <> 'ok' THEN 'missing'
+    add("vendor_volume_ahead", lambda f: vendors.volume_ahead(f.some_values(["volume"])), [PARTS, CELLS], """SELECT CASE WHEN sa <> 'ok' OR sb <> 'ok' THEN 'missing'
   WHEN xa = '0' AND xb = '0' THEN 'both_zero' WHEN CAST(xa AS BIGINT) > CAST(xb AS BIGINT) THEN 'a' WHEN CAST(xb AS BIGINT) > CAST(xa AS BIGINT) THEN 'b' ELSE 'equal' END AS ahead,
   count(*) AS n FROM cells WHERE field = 'volume' GROUP BY 1""")
     add("vendor_side_checks", lambda f: vendors.side_checks(f.a, "a").unionByName(vendors.side_checks(f.b, "b")), [PARTS],

@@ -157,12 +157,18 @@ def _num(c: Column) -> Column:
 
 
 def _payloads(rows: DataFrame, cells: dict[str, Column], per_payload: int = 100) -> DataFrame:
-    """JSON arrays of at most ``per_payload`` objects: (payload_no, ingest_time, payload)."""
+    """JSON arrays of at most ``per_payload`` objects: (payload_no, ingest_time, payload).
+
+    Every third array ends with elements that are no objects; every fourth payload comes a second time as an error object.
+    """
     body = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in cells.items()])
     objs = rows.select("pk", F.concat(F.lit("{"), body, F.lit("}")).alias("obj"), F.expr(f"pk div {per_payload}").alias("payload_no"))
     arrays = objs.groupBy("payload_no").agg(F.sort_array(F.collect_list(F.struct("pk", "obj"))).alias("o"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("o", lambda x: x["obj"]), ","), F.lit("]"))
-    return arrays.select("payload_no", F.timestamp_seconds(1_704_096_000 + F.col("payload_no")).alias("ingest_time"), text.alias("payload"))
+    strays = F.when(F.col("payload_no") % 3 == 0, ',7,null,"x",[{"id":1,"l18":"in a list"}]').otherwise("")
+    text = F.concat(F.lit("["), F.array_join(F.transform("o", lambda x: x["obj"]), ","), strays, F.lit("]"))
+    at = F.timestamp_seconds(1_704_096_000 + F.col("payload_no")).alias("ingest_time")
+    failed = arrays.filter(F.col("payload_no") % 4 == 0).select("payload_no", at, F.lit('{"successful":false,"rows":[{"id":1}]}').alias("payload"))
+    return arrays.select("payload_no", at, text.alias("payload")).unionByName(failed)
 
 
 def payloads_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,12 +177,14 @@ def payloads_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = F.concat(F.lpad((9 + pk % 4).cast("string"), 2, "0"), F.lit(":"), F.lpad((pk % 60).cast("string"), 2, "0"), F.lit(":00"))
     cells = {
         "id": _num(1_000_000 + pk - F.when(pk % 29 == 0, 1).otherwise(0)), "l18": _str(F.concat(F.lit("کی"), "base")), "l30": _str(F.col("title")),
-        "isin": _str(F.col("isin")), "cs_id": _num(F.col("sector")), "pl": F.when(pk % 61 == 0, "1").otherwise(_num(price)), "pc": _num(price),
+        "isin": _str(F.col("isin")), "cs_id": _num(F.col("sector")),
+        # every fifth object has its last price twice; the later one counts
+        "pl": F.concat(F.when(pk % 5 == 0, '"12.5","pl":').otherwise(""), F.when(pk % 61 == 0, "1").otherwise(_num(price))), "pc": _num(price),
         "py": _num(price - 5), "tmin": F.when(pk % 45 == 0, "1").otherwise(_num(price - 100)),
         "tmax": F.when(pk % 47 == 0, "999999999").otherwise(_num(price + 100)), "tno": _num(pk % 50), "tvol": _num(vol), "tval": _num(F.col("value")),
         "Buy_I_Volume": _num(F.col("ib")), "Buy_N_Volume": _num(vol - F.col("ib") + F.when(pk % 27 == 0, 7).otherwise(0)),
         "Sell_I_Volume": _num(F.col("isell")), "Sell_N_Volume": F.when(pk % 33 == 0, "null").otherwise(_num(vol - F.col("isell"))),
-        "time": _str(time), "base_volume": _num(pk % 7)}
+        "time": _str(time), "base_volume": F.when(pk % 7 == 0, '{"v":[1,{"id":5}],"v":2,"t":"a}b,\\"{"}').otherwise(_num(pk % 7))}
     return _payloads(_parts(spark, sf_dir), cells)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.functions.text import num, objects, text, tokens, whole_decimal
+from tapeloom.functions.text import elements, num, text, tokens, whole_decimal
 
 # Canonical field -> vendor key, in the order fields are listed as missing.
 FEED_A = {
@@ -26,18 +26,35 @@ BOOK_A = {"BidPrice": "pd", "BidVol": "qd", "BidCount": "zd", "AskPrice": "po",
 NO_LIMIT = 999_999_999
 
 
+def _elements(payloads: DataFrame) -> DataFrame:
+    """(payload, ...) -> one row per element of each JSON array: its position and value. The last of repeated keys counts."""
+    payloads.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    others = [c for c in payloads.columns if c != "payload"]
+    return payloads.select(*others, F.posexplode(elements(F.col("payload"))).alias("row", "element")).withColumn("row", F.col("row").cast("bigint"))
+
+
 def payload_rows(payloads: DataFrame) -> DataFrame:
     """(payload, ...) -> one row per object: its position, raw tokens and the other columns.
 
-    A payload that is not a JSON array yields no rows; see ``bad_payloads``.
+    Values may be nested (their token is their JSON text). Payloads that are not JSON arrays and elements that are not objects yield
+    no rows; see ``rejected``.
     """
-    others = [c for c in payloads.columns if c != "payload"]
-    return payloads.select(*others, F.posexplode(objects(F.col("payload"))).alias("row", "obj")).select(
-        *others, F.col("row").cast("bigint"), tokens(F.col("obj")).alias("raw"))
+    rows = _elements(payloads)
+    return rows.withColumn("raw", tokens(F.col("element"))).drop("element").filter(F.col("raw").isNotNull())
 
 
 def bad_payloads(payloads: DataFrame) -> DataFrame:
-    return payloads.filter(objects(F.col("payload")).isNull())
+    payloads.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return payloads.filter(elements(F.col("payload")).isNull())
+
+
+def rejected(payloads: DataFrame) -> DataFrame:
+    """What ``payload_rows`` leaves out, with the reason and the text: whole payloads (row NULL) and elements; a null element is nothing."""
+    others = [c for c in payloads.columns if c != "payload"]
+    whole = bad_payloads(payloads).select(*others, F.lit(None).cast("bigint").alias("row"), F.lit("payload is not a JSON array").alias("reason"), "payload")
+    kind = F.schema_of_variant("element")
+    parts = _elements(payloads).filter((kind != "VOID") & ~kind.startswith("OBJECT<"))
+    return whole.unionByName(parts.select(*others, "row", F.lit("element is not a JSON object").alias("reason"), F.to_json("element").alias("payload")))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -38,6 +38,21 @@ def test_payload_that_is_not_an_array(spark):
     assert vendor_feeds.payload_rows(df).select(tx.text(F.col("raw")["a"])).collect()[0][0] == 'x{,}"y'
 
 
+def test_nested_values_and_repeated_keys(spark):
+    """The last of repeated keys counts; nested values are one token; elements that are no objects are set aside."""
+    body = ('[{"id": 1, "pl": 5, "x": {"id": 9, "t": "}],{", "k": [1, {"a": null}]}, "pl": "7.50", "n": 1e5, "w": 12.00, "b": true, "big": 72044846109864381},'
+            ' 5, {"id": 2, "l": {"k": 1, "k": 2}}, null, "s", [{"id": 3}], {}]')
+    df = spark.createDataFrame([(0, body), (1, "[{"), (2, None), (3, "[]"), (4, '{"id": 4}')], "n int, payload string")
+    rows = {(r.n, r.row): r.raw for r in vendor_feeds.payload_rows(df).collect()}
+    assert sorted(rows) == [(0, 0), (0, 2), (0, 6)]
+    assert rows[0, 0] == {"id": "1", "pl": '"7.50"', "x": '{"id":9,"k":[1,{"a":null}],"t":"}],{"}', "n": "100000.0E0", "w": "12.0", "b": "true", "big": "72044846109864381"}
+    assert rows[0, 2]["l"] == '{"k":2}' and rows[0, 6] == {}
+    left = {(r.n, r.row, r.payload) for r in vendor_feeds.rejected(df).collect()}
+    assert left == {(0, 1, "5"), (0, 4, '"s"'), (0, 5, '[{"id":3}]'), (1, None, "[{"), (2, None, None), (4, None, '{"id": 4}')}
+    read = vendor_feeds.payload_rows(df).select(*[tx.num(tx.text(F.col("raw")[k])).alias(k) for k in ("n", "w", "big")]).first()
+    assert (read.n, read.w, read.big) == (None, None, 72044846109864381)
+
+
 def match(spark, a, b):
     fa, fb = feed(spark, a), feed(spark, b)
     return fa, fb, vendors.identities(fa, vendors.KEYS_A), vendors.identities(fb, vendors.KEYS_B)
