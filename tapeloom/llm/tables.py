@@ -27,3 +27,11 @@ def discard(*frames: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
