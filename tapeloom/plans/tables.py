@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,16 +38,26 @@ def recorded(t: Market) -> DataFrame:
     return recordings.read_recording(t.spark, path)
 
 
-def stored(t: Market, df: DataFrame, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
-    """``df`` written and read back; with a merging ``read``, written twice, as a restarted run delivers it again."""
+def stored(t: Market, df: DataFrame, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame] | None = None,
+           older: DataFrame | None = None) -> DataFrame:
+    """``df`` written and read back. With a merging ``read`` it is written a second time, as a restarted run delivers it again, and
+    between the two, ``older`` versions of some rows arrive: they must not win over what is stored."""
     path = _path(t, "stored")
     write(df, path)
     if read is None:
         return t.spark.read.parquet(path)
+    if older is not None:
+        write(older, path)
     write(df, path)
     return read(t.spark, path)
 
 
+def _before(df: DataFrame, column: str, changed: dict[str, Column]) -> DataFrame:
+    """Every third row as an earlier version with other values."""
+    out = df.filter(F.col("seq") % 3 == 0).withColumn(column, F.col(column) - F.expr("INTERVAL 1 SECOND"))
+    return out.withColumns(changed)
+
+
 def register(r: Registry) -> None:
     def add(name: str, build: Callable[[Market], DataFrame], parts: list[str] | None = None, select: str | None = None) -> None:
         r.add(name, lambda spark, sf_dir: build(Market(spark, sf_dir)), tape_sql.with_(parts, select) if select else None)
@@ -68,7 +78,8 @@ def register(r: Registry) -> None:
   WHEN seq % 73 = 0 THEN 'wrong type' ELSE 'empty ins_code' END AS detail, count(*) AS n FROM snaps WHERE seq % 71 = 0 OR seq % 73 = 0 OR seq % 79 = 0 GROUP BY ALL""")
 
     kept = ["seq", "ins_code", "source", "source_time", "ingest_time", "volume"]
-    add("stored_snapshots", lambda t: stored(t, t.snapshots, sinks.write_snapshots, sinks.read_snapshots).select(*kept, "day"), tape_sql.SNAP_BASE,
+    add("stored_snapshots", lambda t: stored(t, t.snapshots, sinks.write_snapshots, sinks.read_snapshots,
+                                              _before(t.snapshots, "ingest_time", {"volume": F.lit(-1).cast("bigint")})).select(*kept, "day"), tape_sql.SNAP_BASE,
         f"""SELECT {', '.join(kept)}, CAST(source_time AS DATE) AS day FROM snaps
 QUALIFY row_number() OVER (PARTITION BY ins_code, source_time, source ORDER BY ingest_time DESC, seq DESC) = 1""")
 
@@ -84,7 +95,8 @@ QUALIFY row_number() OVER (PARTITION BY ins_code, source_time, source ORDER BY i
         at = t.accepted.select("seq", F.col("source_time").alias("updated_at"))
         return flow.running_10m(t.accepted, t.p).join(at, "seq").drop("day")
 
-    add("stored_windows", lambda t: stored(t, window_states(t), sinks.write_flow_10m, sinks.read_flow_10m).select(*windows), [*tape_sql.FLOW, tape_sql.WINDOWS],
+    add("stored_windows", lambda t: stored(t, window_states(t), sinks.write_flow_10m, sinks.read_flow_10m,
+                                            _before(window_states(t), "updated_at", {"net_hot": F.lit(-1).cast("bigint"), "partial": F.lit(None).cast("boolean")})).select(*windows), [*tape_sql.FLOW, tape_sql.WINDOWS],
         f"SELECT {', '.join(windows)} FROM tenrun QUALIFY row_number() OVER (PARTITION BY ins_code, window_start ORDER BY updated_at DESC, seq DESC) = 1")
 
     def twice(t: Market) -> DataFrame:

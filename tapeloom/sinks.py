@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.day_store import DayStore
 from tapeloom.functions import tehran
 from tapeloom.functions.rules import lookup
 from tapeloom.operators.quality import DAY_START_MISSED
@@ -48,35 +51,59 @@ def _write(df: DataFrame, path: str, day: Column, order: list[str], mode: str) -
     (out.hint("rebalance", "day").sortWithinPartitions("day", *order).write.mode(mode).partitionBy("day").parquet(path))
 
 
-def write_snapshots(snaps: DataFrame, path: str, mode: str = "append") -> None:
-    _write(snapshot_versions(snaps), path, F.to_date("source_time"), ["ins_code", "source_time"], mode)
+def _with_day(versions: Callable[[DataFrame], DataFrame], at: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: versions(rows.drop("day")).withColumn("day", F.to_date(at))
+
+
+def snapshot_store(spark: SparkSession, path: str) -> DayStore:
+    return DayStore(spark, path, _with_day(snapshot_versions, "source_time"), ["ins_code", "source_time"])
+
+
+def window_store(spark: SparkSession, path: str) -> DayStore:
+    return DayStore(spark, path, _with_day(window_versions, "window_start"), ["ins_code", "window_start"])
+
+
+def issue_store(spark: SparkSession, path: str) -> DayStore:
+    return DayStore(spark, path, lambda rows: _trading_days(issue_versions(rows.drop("day"))), ["code", "at"])
+
+
+def _trading_days(issues: DataFrame) -> DataFrame:
+    """Issues by the trading day on which they were raised: one DAY_START_MISSED of a day never spans two of them."""
+    return issues.withColumn("day", tehran.trading_day(F.col("at")))
+
+
+def write_snapshots(snaps: DataFrame, path: str) -> None:
+    """Merge snapshots into the store: one version per (ins_code, source_time, source)."""
+    snapshot_store(snaps.sparkSession, path).write(snaps, F.to_date("source_time"))
 
 
 def write_flow_events(events: DataFrame, path: str, mode: str = "append") -> None:
     _write(events, path, F.to_date("interval_to"), ["ins_code", "interval_to"], mode)
 
 
-def write_flow_10m(windows: DataFrame, path: str, mode: str = "append") -> None:
-    _write(window_versions(windows), path, F.to_date("window_start"), ["ins_code", "window_start"], mode)
+def write_flow_10m(windows: DataFrame, path: str) -> None:
+    """Merge window states into the store: the latest update of each window."""
+    window_store(windows.sparkSession, path).write(windows, F.to_date("window_start"))
 
 
-def write_quality(issues: DataFrame, path: str, mode: str = "append") -> None:
-    _write(issue_versions(issues), path, F.to_date("at"), ["code", "at"], mode)
+def write_quality(issues: DataFrame, path: str) -> None:
+    """Merge issues into the store; a repeated DAY_START_MISSED of an instrument and day is one row."""
+    issue_store(issues.sparkSession, path).write(issues, tehran.trading_day(F.col("at")))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Stored snapshots; of versions that several writes left, the newest."""
-    return snapshot_versions(spark.read.parquet(path))
+    """Stored snapshots, one version each, with their day."""
+    return snapshot_store(spark, path).read()
 
 
 def read_flow_10m(spark: SparkSession, path: str) -> DataFrame:
-    """Stored windows in their latest update over all writes."""
-    return window_versions(spark.read.parquet(path))
+    """Stored windows in their latest update."""
+    return window_store(spark, path).read()
 
 
 def read_quality(spark: SparkSession, path: str) -> DataFrame:
-    """Stored issues; one that a later write repeated after a restart counts once."""
-    return issue_versions(spark.read.parquet(path))
+    """Stored issues."""
+    return issue_store(spark, path).read()
 
 
 def envelopes(df: DataFrame, kind: str) -> DataFrame:
