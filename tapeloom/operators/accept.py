@@ -164,11 +164,11 @@ def accept(snaps: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params =
     totals = chunk_totals(flagged(refs), ["ins_code"], prefix)
     info = carried_in(totals, ["ins_code"], prefix).join(refs, ["ins_code", "chunk"], "left")
     out = within_chunk(flagged(info), ["ins_code"], prefix).drop("chunk")
-    return _outcome(out.filter(~F.col("held")).drop("held"))
+    return outcomes(out.filter(~F.col("held")).drop("held"))
 
 
-def _outcome(df: DataFrame) -> DataFrame:
-    """Deltas and outcome of every row, given its predecessor."""
+def outcomes(df: DataFrame) -> DataFrame:
+    """Deltas and outcome of every row, given its predecessor ``prev`` and its carryover."""
     zero = F.lit(0).cast("bigint")
     prev_day = tehran.trading_day(F.col("prev.source_time"))
     # a total missing on a row reads as 0 in a difference

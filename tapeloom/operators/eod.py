@@ -275,9 +275,27 @@ def scored_features(p: EodParams = EOD) -> list[str]:
     return ["f1", "f2", "f3_count", "rvol", "clv", "ad", "rs", "atr_ratio", "vol_dryup", *[f"dist{n}" for n in p.high_days]]
 
 
+def percentiles(rows: DataFrame, columns: list[str], keys: list[str], among: Column, min_n: int, row: list[str]) -> DataFrame:
+    """``row`` and ``<column>_pct`` of every row of ``among`` that has one: ``percentile`` of many columns at once.
+
+    All columns become rows of one long table, ranked by one window over (keys, column); one aggregation brings the percentiles of a
+    row together again. Two shuffles, however many columns there are.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = rows.filter(among).select(*row, *[k for k in keys if k not in row], F.inline(cells)).filter(F.col("value").isNotNull())
+    section = W.partitionBy(*keys, "column")
+    ordered = section.orderBy("value")
+    # Equal values share the mean of their ranks: rows below, and half of the other rows with the same value.
+    below, same = F.rank().over(ordered) - 1, F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+    n = F.count(F.lit(1)).over(section)
+    ranked = long.select(*row, "column", F.when(n >= max(min_n, 2), 100 * (below + (same - 1) / 2) / (n - 1)).alias("pct"))
+    return ranked.groupBy(*row).agg(*[F.max(F.when(F.col("column") == c, F.col("pct"))).alias(f"{c}_pct") for c in columns])
+
+
 def normalized(features: DataFrame, p: EodParams = EOD) -> DataFrame:
-    """Cross-sectional percentiles of every scored feature inside the universe."""
-    return features.withColumns({f"{c}_pct": percentile(c, ["day"], F.col("in_universe"), p.min_cross_section) for c in scored_features(p)})
+    """Cross-sectional percentiles of every scored feature inside the universe. Reads ``features`` twice."""
+    found = percentiles(features, scored_features(p), ["day"], F.col("in_universe"), p.min_cross_section, ["ins", "day"])
+    return features.join(found, ["ins", "day"], "left")
 
 
 def families(norm: DataFrame, p: EodParams = EOD) -> DataFrame:

@@ -101,33 +101,50 @@ def triple_barrier(filled: DataFrame, bars: DataFrame, price: str = "fill_conser
         (F.col("bottom") / F.col("fill") - 1).alias("mae"))
 
 
-def _upper_tail(t: float, dof: float) -> float:
-    """P(T > t) of Student's t by the continued fraction of the incomplete beta function: one number, to check the expression against."""
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-        d = 1.0 / (d or 1e-300)
-        f = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1.0 / ((1.0 + num * d) or 1e-300)
-                c = (1.0 + num / c) or 1e-300
-                f *= c * d
-            if abs(c * d - 1.0) < 1e-14:
-                break
-        return f
-
-    both = front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * fraction(b, a, 1 - x) / b
-    if x >= 1.0:
-        both = 1.0
-    return both / 2 if t > 0 else 1 - both / 2
+def _log_gamma_ratio(a: Column) -> Column:
+    """ln(Gamma(a + 1/2) / Gamma(a)) for a > 0: by its asymptotic series where a >= 16, reached by steps of one."""
+    steps = F.when(a < 16, F.sequence(F.lit(0), F.ceil(16 - a).cast("int"))).otherwise(F.array().cast("array<int>"))
+    shifted = F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.log1p(-0.5 / (a + k + 0.5)))
+    z = a + F.size(steps)
+    w = 1 / (z * z)
+    series = 0.5 * F.ln(z) - (1 / 8 - w * (1 / 192 - w * (1 / 640 - w * (17 / 14336 - w * 31 / 18432)))) / z
+    return shifted + series
+
+
+def _beta_fraction(a: Column, b: float, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, for x < (a + 1) / (a + b + 2), by Lentz's rule."""
+    steps = F.sequence(F.lit(1), F.ceil(60 + 8 * F.sqrt(a)).cast("int"))
+
+    def near(v: Column) -> Column:
+        return F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def turn(s: Column, num: Column) -> Column:
+        d = 1 / near(1 + num * s["d"])
+        c = near(1 + num / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["f"] * c * d).alias("f"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.element_at(F.transform(F.array(turn(s, even)), lambda t: turn(t, odd)), 1)
+
+    first = 1 / near(1 - (a + b) * x / (a + 1))
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("f")), step)["f"]
+
+
+def _tail(t: Column, n: Column) -> Column:
+    """P(T > t) for t * t > 3: the tail itself, its leading factor in logarithms, so that nothing cancels."""
+    a = n / 2
+    x = n / (n + t * t)
+    front = -a * F.log1p(t * t / n) + 0.5 * F.ln(1 - x) + _log_gamma_ratio(a) - 0.5 * math.log(math.pi)
+    return F.exp(front) * _beta_fraction(a, 0.5, x) / a / 2
 
 
 def one_sided_p(t: Column, dof: Column) -> Column:
-    """P(T > t) of Student's t with a whole number of degrees of freedom, as a finite sum in cos^2 of atan(t / sqrt(dof))."""
+    """P(T > t) of Student's t with a whole number of degrees of freedom.
+
+    Near the middle 1 minus the body, a finite sum in cos^2 of atan(t / sqrt(dof)); beyond it the tail summed directly.
+    """
     t, n = t.cast("double"), dof.cast("bigint")
     odd, cos2 = F.pmod(n, F.lit(2)), n / (n + t * t)
     last = F.floor((n - 2 - odd) / 2)
@@ -139,7 +156,8 @@ def one_sided_p(t: Column, dof: Column) -> Column:
     sin = t / F.sqrt(n + t * t)
     inside = F.when(odd == 0, sin * total).otherwise(
         (F.atan(t / F.sqrt(n.cast("double"))) + F.when(n > 1, sin * F.sqrt(cos2) * total).otherwise(0.0)) * (2 / math.pi))
-    return F.when(n > 0, (1 - inside) / 2)
+    real = n.cast("double")
+    return F.when((n > 0) & (t > 2), _tail(t, real)).when((n > 0) & (t < -2), 1 - _tail(-t, real)).when(n > 0, (1 - inside) / 2)
 
 
 def newey_west(returns: DataFrame, p: EodParams = EOD) -> DataFrame:
@@ -193,11 +211,25 @@ def basis_gate(by_volume: DataFrame, by_value: DataFrame, p: EodParams = EOD) ->
                      (F.sum("flips") * 100 / F.sum("placed")).alias("flip_pct"))
 
 
-def scoreboard(closed: DataFrame, backtest: DataFrame, p: EodParams = EOD) -> DataFrame:
-    """Rolling window of the last closed signals per trial, their z against the backtest, and the status."""
-    w = W.partitionBy("trial").orderBy("exit_no", "ins", "no").rowsBetween(1 - p.scoreboard, 0)
-    out = closed.join(backtest.select("trial", F.col("mean").alias("bt_mean"), F.col("sd").alias("bt_sd")), "trial").withColumns({
-        "n": F.count("r_multiple").over(w), "live_mean": F.avg("r_multiple").over(w)})
+def scoreboard(closed: DataFrame, backtest: DataFrame, p: EodParams = EOD, chunk_days: int = 60) -> DataFrame:
+    """Rolling window of the last closed signals per trial, their z against the backtest, and the status.
+
+    A trial is cut into chunks of ``chunk_days`` closing days. Each chunk hands on its last signals; as no chunk is empty, as many chunks
+    as the window has rows before the current one are enough to fill the window of a chunk's first row. No task holds a whole trial.
+    """
+    before = p.scoreboard - 1
+    order = ["exit_no", "ins", "no"]
+    rows = closed.select("trial", *order, "r_multiple", F.floor(F.col("exit_no") / chunk_days).alias("chunk"))
+    latest = W.partitionBy("trial", "chunk").orderBy(*[F.desc(c) for c in order])
+    tails = (rows.withColumn("back", F.row_number().over(latest)).filter(F.col("back") <= before)
+             .groupBy("trial", "chunk").agg(F.sort_array(F.collect_list(F.struct(*order, "r_multiple"))).alias("tail")))
+    earlier = W.partitionBy("trial").orderBy("chunk").rowsBetween(-before, -1)
+    handed = tails.select("trial", "chunk", F.flatten(F.collect_list("tail").over(earlier)).alias("tail"))
+    handed = handed.select("trial", "chunk", F.inline(F.expr(f"slice(tail, greatest(1, size(tail) - {before - 1}), {before})")))
+    both = rows.withColumn("own", F.lit(True)).unionByName(handed.withColumn("own", F.lit(False)))
+    w = W.partitionBy("trial", "chunk").orderBy(*order).rowsBetween(-before, 0)
+    live = both.withColumns({"n": F.count("r_multiple").over(w), "live_mean": F.avg("r_multiple").over(w)}).filter("own")
+    out = live.join(backtest.select("trial", F.col("mean").alias("bt_mean"), F.col("sd").alias("bt_sd")), "trial")
     z = (F.col("live_mean") - F.col("bt_mean")) / (F.col("bt_sd") / F.sqrt("n"))
     out = out.withColumn("z", z)
     status = F.when(F.col("n") < p.scoreboard, "evaluating").when((F.col("live_mean") < 0) | (F.col("z") < -2.0), "suspended").otherwise("active")

@@ -64,12 +64,17 @@ def flow_events(attributed: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "volume", "value", "participants", "avg_ticket", "vwap", "price_last")
 
 
+def net_ind_value() -> Column:
+    """Real-person net value of an interval; each side is truncated first."""
+    return side_value(F.col("d_ind_buy_vol")) - side_value(F.col("d_ind_sell_vol"))
+
+
 def intervals(accepted: DataFrame) -> DataFrame:
     """Value and real-person net value of every interval with trading; each side is truncated first."""
     return accepted.filter(traded()).select(
         "seq", "ins_code", "class", "day", "open", F.col("prev.source_time").alias("interval_from"),
         F.col("source_time").alias("interval_to"), F.col("d_value").alias("value"),
-        (side_value(F.col("d_ind_buy_vol")) - side_value(F.col("d_ind_sell_vol"))).alias("net_ind_value"),
+        net_ind_value().alias("net_ind_value"),
         F.col("prev.price_last").alias("price_from"), F.col("price_last").alias("price_to"))
 
 
@@ -178,11 +183,16 @@ def published_totals(progress: DataFrame) -> DataFrame:
         "seq", "ins_code", "symbol", "class", "day", F.col("source_time").alias("as_of"), "volume", *[F.col(f"t_{n}").alias(n) for n in NETS], "partial")
 
 
+def polling_gap(p: Params = DEFAULT) -> Column:
+    """The interval reaches back before its window over a silence longer than ``gap_after``."""
+    waited = tehran.trading_overlap(F.col("open"), F.col("close"), F.col("prev.ingest_time"), F.col("ingest_time"))
+    return F.coalesce((F.col("prev.source_time") < F.col("window_start")) & (waited > p.gap_after), F.lit(False))
+
+
 def _window_rows(accepted: DataFrame, p: Params) -> DataFrame:
     """Intervals, and the rows that make their window partial, with the polling-gap flag of each interval."""
     rows = accepted.filter(is_interval() | F.col("late") | (F.col("outcome") == "rebaseline"))
-    waited = tehran.trading_overlap(F.col("open"), F.col("close"), F.col("prev.ingest_time"), F.col("ingest_time"))
-    gap = F.coalesce((F.col("prev.source_time") < F.col("window_start")) & (waited > p.gap_after), F.lit(False))
+    gap = polling_gap(p)
     return with_nets(rows, p).select(
         "seq", "ins_code", "class", "day", "window_start", "price_last", "source_time", is_interval().alias("usable"), "net_hot",
         F.col("prev.price_last").alias("price_before"), gap.alias("gap"))

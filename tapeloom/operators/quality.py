@@ -87,14 +87,14 @@ def _row_issues(p: Params) -> list[Rule]:
     ]
 
 
-def all_occurrences(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT) -> DataFrame:
-    """Every rule that fired on every row, before the once-per-day codes are reduced."""
+def all_occurrences(accepted: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT, keep: list[str] | None = None) -> DataFrame:
+    """Every rule that fired on every row, before the once-per-day codes are reduced; columns ``keep`` stay."""
     rows = calendar.with_session(accepted, tehran.trading_day(F.col("ingest_time")), "in_")
     fired = _row_issues(p)
     # most rows are clean: they leave before any issue is built
     suspect = rows.filter(rules.any_of([F.coalesce(when, F.lit(False)) for when, _ in fired]))
     every = F.inline(F.array(*[F.when(when, issue) for when, issue in fired]))
-    return suspect.select("seq", "ins_code", F.col("ingest_time").alias("at"), every).filter(F.col("code").isNotNull())
+    return suspect.select("seq", "ins_code", F.col("ingest_time").alias("at"), *(keep or []), every).filter(F.col("code").isNotNull())
 
 
 def once_per_day(occurrences: DataFrame, codes: list[str] = ONCE_PER_DAY, keep_day: bool = False) -> DataFrame:

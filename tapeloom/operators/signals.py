@@ -16,24 +16,30 @@ from tapeloom.params import DEFAULT, Params
 FEATURES = ["value_rate", "net_ind_rate"]
 
 
+def observation(value: Column, net: Column, start: Column, end: Column, p: Params = DEFAULT) -> Column:
+    """An interval's per-second features and whether it is scored; NULL if it does not train. Needs open, class and ``opens``."""
+    secs = tehran.seconds_between(start, end)
+    rate = value / F.when(secs > 0, secs)
+    at, skip = F.unix_micros(end), p.opening_skip * 1_000_000
+
+    def opening(o: Column) -> Column:
+        return (at >= F.unix_micros(o)) & (at < F.unix_micros(o) + skip)
+
+    scored = (at >= F.unix_micros("open") + skip) & ~((F.col("class") == UNKNOWN) & F.exists("opens", opening))
+    features = F.struct(rate.alias("value_rate"), (net / F.when(secs > 0, secs)).alias("net_ind_rate"), scored.alias("scored"))
+    return F.when(F.col("open").isNotNull() & (rate >= p.min_value_rate), features)
+
+
 def observations(intervals: DataFrame, calendar: Calendar = DEFAULT_CALENDAR, p: Params = DEFAULT) -> DataFrame:
     """Intervals that train the radar, with their per-second features and whether they are scored.
 
     Closed days neither score nor train; the first minutes after the open train only. An instrument of
     unknown class could belong to any class, so it skips the minutes after every class open.
     """
-    secs = tehran.seconds_between(F.col("interval_from"), F.col("interval_to"))
-    rows = intervals.withColumn("secs", secs).filter((F.col("secs") > 0) & F.col("open").isNotNull()).withColumns({
-        "value_rate": F.col("value") / F.col("secs"), "net_ind_rate": F.col("net_ind_value") / F.col("secs")})
-    rows = calendar.opens(rows.filter(F.col("value_rate") >= p.min_value_rate))
-    at, skip = F.unix_micros("interval_to"), p.opening_skip * 1_000_000
-
-    def opening(o: Column) -> Column:
-        return (at >= F.unix_micros(o)) & (at < F.unix_micros(o) + skip)
-
-    after_any = F.exists("opens", opening)
-    scored = (at >= F.unix_micros("open") + skip) & ~((F.col("class") == UNKNOWN) & after_any)
-    return rows.withColumn("scored", scored).drop("opens", "secs", "open")
+    rows = calendar.opens(intervals.filter(F.col("open").isNotNull()))
+    seen = observation(F.col("value"), F.col("net_ind_value"), F.col("interval_from"), F.col("interval_to"), p)
+    rows = rows.withColumn("_seen", seen).filter(F.col("_seen").isNotNull())
+    return rows.select("*", "_seen.*").drop("_seen", "opens", "open")
 
 
 def _block_length(alpha: float) -> int:

