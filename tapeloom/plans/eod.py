@@ -135,7 +135,8 @@ sales AS (SELECT ins, no, day, first_value(CASE WHEN lock IN ('down', 'flat') TH
                   "mfe": "top / fill - 1", "mae": "bottom / fill - 1"})
     add("excess_return_tests", lambda b: lab.newey_west(b.returns, b.p), [*q.LABELED, q.RETURNS, q.NEWEY], {"mean": 7, "se": 7, "t": 4}, ["trial", "h", "days", "events"], "nw",
         sql_expr={"t": "mean / se"})
-    add("false_discovery_control", lambda b: lab.benjamini_hochberg(lab.newey_west(b.returns, b.p), b.p), None, {"p": 8, "p_adjusted": 8}, ["trial", "h", "enough", "passes"])
+    add("false_discovery_control", lambda b: lab.benjamini_hochberg(lab.newey_west(b.returns, b.p), b.p), [*q.LABELED, q.RETURNS, q.NEWEY, q.FDR],
+        {"p": 8, "p_adjusted": 8}, ["trial", "h", "enough", "passes"], "fdr")
     add("flow_basis_gate", lambda b: lab.basis_gate(b.features, b.features_on("value"), b.p), [*q.FEATURES, q.flow("px", "fv", True), f"""
 bg0 AS (
   SELECT a.no, {q.pct('a.f1', 'a.in_universe', p.min_cross_section, 'a.no')} AS f1_a, {q.pct('a.f2', 'a.in_universe', p.min_cross_section, 'a.no')} AS f2_a,
