@@ -81,3 +81,14 @@ class Tape:
     def signals(self) -> DataFrame:
         return self._shared("signals", lambda: signals.signals(
             flow.intervals(self.accepted), flow.running_10m(self.accepted, self.p), self.calendar, self.p))
+
+
+class Rehearsed:
+    """Mixed into a tape: its snapshots are those of the rehearsal."""
+
+    def _shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return super()._shared(f"rehearsed-{name}", build)
+
+    @property
+    def snapshots(self) -> DataFrame:
+        return self._shared("snapshots", lambda: bindings.rehearsal(bindings.snapshots(self.spark, self.sf_dir, self.p, staged=False)))

@@ -12,7 +12,7 @@ from tapeloom.functions import rules
 from tapeloom.operators import flow, market, quality, series
 from tapeloom.plans import market_sql as m
 from tapeloom.plans import tape, tape_sql
-from tapeloom.plans.inputs import Tape
+from tapeloom.plans.inputs import Rehearsed, Tape
 from tapeloom.plans.registry import Registry
 
 
@@ -49,9 +49,20 @@ ENGINE = [*tape_sql.FLOW, tape_sql.GAMES, tape.ISSUES]
 TABLE = [*ENGINE, m.ROWS, m.REFERENCE, m.ACCEPTED, m.TABLE]
 
 
+class RehearsedMarket(Rehearsed, Market):
+    pass
+
+
+# Queries whose rules the plain tape does not all reach; see ``bindings.rehearsal``.
+REHEARSED = ["carried_only_instruments", "ever_traded", "awaiting_reset", "market_rows", "lagging_rows", "class_flows", "flow_patterns", "kpi_values", "breadth",
+             "market_summary", "row_statuses", "value_series", "series_bars"]
+
+
 def register(r: Registry) -> None:
     def add(name: str, build: Callable[[Market], DataFrame], parts: list[str] | None = None, select: str | None = None) -> None:
         r.add(name, lambda spark, sf_dir: build(Market(spark, sf_dir)), tape_sql.with_(parts, select) if select else None)
+        if name in REHEARSED:
+            r.add(f"rehearsed_{name}", lambda spark, sf_dir: build(RehearsedMarket(spark, sf_dir)), tape_sql.with_(tape_sql.rehearsed(parts), select))
 
     add("latest_snapshots", lambda t: market.latest_snapshots(t.rows).select(
         "seq", "ins_code", "day", "source_time", "price_last", "volume", "value"), m.BASE,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tapeloom.operators import accept as acc
 from tapeloom.operators import calendar as cal
 from tapeloom.operators import flow, publish, quality, signals
 from tapeloom.plans import tape_sql as q
-from tapeloom.plans.inputs import Tape
+from tapeloom.plans.inputs import Rehearsed, Tape
 from tapeloom.plans.registry import Registry
 from tapeloom.sources import bindings
 
@@ -27,6 +28,16 @@ def register(r: Registry) -> None:
     def add(name: str, build: Callable[[Tape], DataFrame], parts: list[str] | None = None, select: str | None = None) -> None:
         r.add(name, lambda spark, sf_dir: build(Tape(spark, sf_dir)), q.with_(parts, select) if select else None)
 
+    class RehearsedTape(Rehearsed, Tape):
+        pass
+
+    def again(name: str, build: Callable[[Tape], DataFrame], parts: list[str] | None = None, select: str | None = None) -> None:
+        """Queries over outcomes, once more over the tape on which all of them occur."""
+        if name in ("acceptance_outcomes", "issues_out_of_order", "issue_counts"):
+            r.add(f"rehearsed_{name}", lambda spark, sf_dir: build(RehearsedTape(spark, sf_dir)), q.with_(q.rehearsed(parts), select))
+
+    _acceptance(again)
+    _quality(again)
     _clock(add)
     _joins(add, r)
     _acceptance(add)
@@ -321,6 +332,17 @@ def _signals(add) -> None:
         hits = signals.anomalies(flow.intervals(t.accepted), t.calendar, bindings.event_params(z_threshold=2.5))
         return hits.select("seq", "ins_code", "feature", "z", F.round("value", 2).alias("value"), F.round("mean", 0).alias("mean"), "at")
 
+    def reasons(t: Tape) -> DataFrame:
+        """Texts of the anomalies, with a low bar so that both directions of both features occur."""
+        loose = replace(t.p, z_threshold=1.0)
+        return signals.anomalies(flow.intervals(t.accepted), t.calendar, loose).select("seq", "ins_code", "feature", "reason")
+
+    from tapeloom.functions.rules import REASONS
+
+    chain = " ".join(f"WHEN feature = '{f}' AND {'z >= 0' if up and f == 'value_rate' else 'z < 0' if f == 'value_rate' else 'z > 0' if up else 'z <= 0'} THEN '{text}'"
+                     for (f, up), text in REASONS.items())
+    add("anomaly_reasons", reasons, [*q.ENGINE, radar_sql()], f"""SELECT seq, ins_code, feature, CASE {chain} END AS reason FROM (
+  SELECT *, (value - mean) / sqrt(var) AS z FROM scores WHERE scored AND i > {q.P['warm_up']} AND var > 0) WHERE abs(z) >= 1.0""")
     add("radar_anomalies", anomalies, [*q.ENGINE, radar_sql()],
         f"""SELECT seq, ins_code, feature, round((value - mean) / sqrt(var), 2) AS z, round(value, 2) AS value, round(mean, 0) AS mean, "at" FROM scores
 WHERE scored AND i > {q.P['warm_up']} AND var > 0 AND abs((value - mean) / sqrt(var)) >= 2.5""")

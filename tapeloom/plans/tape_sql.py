@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.operators.calendar import UNKNOWN
-from tapeloom.sources.bindings import EVENT_CALENDAR, EVENT_PARAMS
+from tapeloom.sources.bindings import DEFECTS, EVENT_CALENDAR, EVENT_PARAMS, REHEARSAL
 
 P = {"hot": 2_000_000_000, "plus": 1_000_000_000, "keep": 30, **EVENT_PARAMS}
 
@@ -72,6 +72,34 @@ snaps AS (
     f"CASE WHEN s.rn = 1 AND s.k % 3 = 1 THEN 0 WHEN e.k IS NOT NULL THEN e.{c} ELSE s.{c} END AS {c}"
     for c in ["volume", "value", "ind_buy_vol", "ind_sell_vol", "ind_buy_count", "ind_sell_count", "trade_count"]))
 
+
+
+def _on(case: str) -> str:
+    key, modulo, rest = REHEARSAL[case]
+    return f"(k = {key} AND n % {modulo} IN ({', '.join(map(str, rest))}))"
+
+
+_STILL = {"volume": 5_000_000, "value": 50_000_000_000, "trade_count": 100, "ind_buy_vol": 3_000_000, "ind_sell_vol": 2_000_000, "inst_buy_vol": 2_000_000,
+          "inst_sell_vol": 3_000_000, "ind_buy_count": 40, "ind_sell_count": 30}
+# The tape with days on which every rule of the market state has something to do.
+REHEARSED = SNAPS.replace("\nsnaps AS (", "\nsnaps0 AS (") + f""",
+rehearsed0 AS (
+  SELECT *, CAST(substr(ins_code, 2) AS INT) AS k, CAST(source_time AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tehran' AS DATE) AS sday FROM snaps0),
+rehearsed1 AS (SELECT *, date_diff('day', DATE '2024-01-01', sday) AS n, CAST(epoch(CAST(sday AS TIMESTAMP)) AS BIGINT) - 12600 AS start_ FROM rehearsed0),
+rehearsed AS (
+  SELECT *, class IN ('gold', 'silver') AND n % 2 = 0 AND row_number() OVER (PARTITION BY ins_code, sday ORDER BY seq) = 1 AS first_ FROM rehearsed1
+  WHERE NOT (class IN ('gold', 'silver') AND n % 2 = 0 AND ({' OR '.join(f'seq % {d} = 0' for d in DEFECTS)}))),
+snaps AS (
+  SELECT seq, ins_code, symbol, source, source_time_estimated, class,
+    CASE WHEN first_ THEN make_timestamp((start_ + 30000) * 1000000) WHEN {_on('before_open')}
+      THEN make_timestamp((start_ + 3600 + (CAST(floor(epoch(source_time)) AS BIGINT) - start_) // 10) * 1000000)
+      WHEN k = 9 AND seq % 53 = 5 THEN source_time + INTERVAL 1 DAY ELSE source_time END AS source_time,
+    CASE WHEN first_ THEN make_timestamp((start_ + 30001) * 1000000) ELSE ingest_time END AS ingest_time,
+    CASE WHEN NOT {_on('no_price')} THEN price_last END AS price_last, CASE WHEN {_on('flat')} THEN price_last ELSE price_yesterday END AS price_yesterday,
+    CASE WHEN NOT {_on('no_limits')} THEN price_limit_min END AS price_limit_min, CASE WHEN NOT {_on('no_limits')} THEN price_limit_max END AS price_limit_max,
+    {', '.join(f"CASE WHEN first_ OR {_on('untraded')} THEN 0 WHEN {_on('stands_still')} THEN {v} ELSE {c} END AS {c}" for c, v in _STILL.items())}
+  FROM rehearsed)"""
+
 TEHRAN_DAY = "CAST({0} AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tehran' AS DATE)"
 
 
@@ -244,3 +272,8 @@ FLOW = [*ENGINE, SIDES]
 
 def with_(parts: list[str], select: str) -> str:
     return f"WITH RECURSIVE {','.join(parts)}\n{select}"
+
+
+def rehearsed(parts: list[str]) -> list[str]:
+    """The same steps over the rehearsed tape."""
+    return [REHEARSED if p is SNAPS else p for p in parts]

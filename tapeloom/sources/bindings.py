@@ -116,6 +116,49 @@ def snapshots(spark: SparkSession, sf_dir: str, p: Params = DEFAULT, staged: boo
     return stage(out, "snapshots") if staged else out
 
 
+# Instruments of the rehearsal and the days (number from 2024-01-01, modulo, remainders) on which each shows its case.
+REHEARSAL = {"stands_still": (8, 3, (0, 1)), "untraded": (15, 4, (1,)), "no_price": (1, 5, (2,)), "no_limits": (14, 6, (3,)), "flat": (7, 2, (0,)),
+             "before_open": (2, 5, (4,))}
+DEFECTS = (53, 61, 89, 101, 131, 499)  # positions of the defects that ``snapshots`` puts into the tape
+
+
+def rehearsal(snaps: DataFrame) -> DataFrame:
+    """``snapshots`` with days on which every rule of the market state has something to do.
+
+    One instrument repeats its totals over two days (awaits a reset), one does not trade, one has no price, one no limits, one closes
+    where it closed the day before, one is shown before the open only. One is seen a day ahead now and then, so that what follows is of
+    an earlier day and its totals lag. Gold and silver are without defects on even days, from an empty row before the open on.
+    """
+    def on(case: str) -> Column:
+        key, modulo, rest = REHEARSAL[case]
+        return (F.col("k") == key) & (F.col("n") % modulo).isin(*rest)
+
+    day = F.to_date(F.from_utc_timestamp("source_time", "Asia/Tehran"))
+    out = snaps.withColumns({"k": F.substring("ins_code", 2, 9).cast("int"), "day": day, "n": F.datediff(day, F.lit(date(2024, 1, 1)))})
+    clean = F.col("class").isin("gold", "silver") & (F.col("n") % 2 == 0)
+    broken = F.lit(False)
+    for d in DEFECTS:
+        broken = broken | (F.col("seq") % d == 0)
+    out = out.filter(~(clean & broken)).withColumn("first", clean & (F.row_number().over(W.partitionBy("ins_code", "day").orderBy("seq")) == 1))
+    start = F.unix_timestamp(F.to_utc_timestamp(F.col("day").cast("timestamp"), "Asia/Tehran"))
+    early = F.timestamp_seconds(start + 30_000)
+    compressed = F.timestamp_seconds(start + 3600 + F.floor((F.unix_timestamp("source_time") - start) / 10))
+    ahead = (F.col("k") == 9) & (F.col("seq") % 53 == 5)
+    still = {"volume": 5_000_000, "value": 50_000_000_000, "trade_count": 100, "ind_buy_vol": 3_000_000, "ind_sell_vol": 2_000_000, "inst_buy_vol": 2_000_000,
+             "inst_sell_vol": 3_000_000, "ind_buy_count": 40, "ind_sell_count": 30}
+    cols = {c: F.when(F.col("first") | on("untraded"), F.lit(0)).when(on("stands_still"), F.lit(v)).otherwise(F.col(c)).cast("bigint") for c, v in still.items()}
+    cols["price_last"] = F.when(~on("no_price"), F.col("price_last"))
+    cols["price_yesterday"] = F.when(on("flat"), F.col("price_last")).otherwise(F.col("price_yesterday"))
+    cols |= {c: F.when(~on("no_limits"), F.col(c)) for c in ("price_limit_min", "price_limit_max")}
+    cols["source_time"] = (F.when(F.col("first"), early).when(on("before_open"), compressed)
+                           .when(ahead, F.col("source_time") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("source_time")))
+    cols["ingest_time"] = F.when(F.col("first"), F.timestamp_seconds(start + 30_001)).otherwise(F.col("ingest_time"))
+    out = out.withColumns(cols)
+    listed = {"price_last": "price_last", "price_limits": "price_limit_min", "trade_count": "trade_count", "value": "value", "ind_buy_count": "ind_buy_count"}
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for n, c in listed.items()]))
+    return out.withColumn("missing", missing).select(*snaps.columns)
+
+
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instrument -> class map of the event stream (one row per instrument)."""
     keys = table(spark, sf_dir, "events").select(instrument_key().alias("k")).distinct()
