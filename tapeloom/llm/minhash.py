@@ -35,7 +35,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
-    """Hash of a word, remembered for the first million words."""
+    """Hash of a word, remembered for the first 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -126,23 +126,35 @@ def plausible(left: np.ndarray, right: np.ndarray, batch: int, fewest: list[int]
     return alive
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Bucket key of each band of each signature."""
+    sig = sig.astype(np.uint64).reshape(-1, bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2])
+    for k in range(rows):
+        key = _mixed(key * MIX + sig[:, :, k])
+    return key.astype(np.int64)
+
+
 def _matrix(column) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), "<u4").reshape(len(values), -1)
 
 
-def _groups(it, width: int):
-    """Rows with equal first ``width`` columns, from batches sorted by them; one group is held at a time."""
-    group, key = [], None
+def _asked(it, width: int, asks: int):
+    """(own rows, asking row) for each asking row, from batches sorted by the first ``width`` columns and then by column ``asks``.
+
+    Only a group's own rows, which come first, are held: a block of bounded size; the rows that ask pass by one at a time.
+    """
+    own, key = [], None
     for batch in it:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:width] != key:
-                if group:
-                    yield group
-                group, key = [], row[:width]
-            group.append(row)
-    if group:
-        yield group
+        for at in range(0, batch.num_rows, 1024):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                if row[:width] != key:
+                    own, key = [], row[:width]
+                if row[asks]:
+                    yield own, row
+                else:
+                    own.append(row)
 
 
 class NearDuplicates:
@@ -183,12 +195,9 @@ class NearDuplicates:
             for batch in it:
                 if not batch.num_rows:
                     continue
-                sig = _matrix(batch.column("sig")).astype(np.uint64).reshape(-1, bands, rows)
-                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2])
-                for k in range(rows):
-                    key = _mixed(key * MIX + sig[:, :, k])
+                key = band_keys(_matrix(batch.column("sig")), bands, rows)
                 ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(ids)], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], names=["key", "id"])
 
         return sigs.select("id", "sig").mapInArrow(run, "key long, id long")
 
@@ -231,8 +240,9 @@ class NearDuplicates:
     def outside_links(self, members: DataFrame, component: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
         """Links across components, in the buckets that hold more than one component.
 
-        Signatures are compared in blocks of a bucket. What they leave is noted as one row for each asking document and block
-        of a component, then texts of these blocks meet and are compared in full, up to the first link of a row.
+        Signatures are compared in blocks of a bucket, each pair in the bucket of its first common band. What they leave is noted as
+        one row for each asking document and block of a family; then the texts of these blocks meet and are compared in full, up to
+        the first link of a row with each component.
         """
         labelled = members.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         labelled = staged(labelled, "members")
@@ -241,64 +251,87 @@ class NearDuplicates:
         mixed = (sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
                  .where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / self.block_rows).cast("int").alias("blocks")))
         rows = staged(labelled.join(staged(mixed, "mixed"), "key"), "mixed-members")
-        vertices = rows.select("id", "component").distinct()
-        parts_of = vertices.groupBy("component").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("parts"))
-        placed = staged(vertices.join(parts_of, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "placed")
-        sig = placed.select("id", "part").join(sigs, "id")
+        # Documents of one family, whatever their components, lie in the same few blocks: by the main component of their buckets.
+        vertices = rows.groupBy("id", "component").agg(F.min("main").alias("home"))
+        parts_of = vertices.groupBy("home").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+        placed = staged(vertices.join(parts_of, "home").select("id", "component", "home", part), "placed")
+        sig = placed.select("id", "home", "part").join(sigs, "id")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         own = rows.select("key", block.alias("block"), "id", "component", "main", F.lit(False).alias("asks"))
         asking = rows.where("component <> main").select(
             "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "main", F.lit(True).alias("asks"))
-        dealt = own.unionByName(asking).join(sig, "id").select("key", "block", "asks", "id", "component", "main", "part", "sig")
-        spread = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(spread, "key", "block").sortWithinPartitions("key", "block", "asks")
-        batch_size, fewest, size, percent = self.batch, self.fewest, self.size, self.percent
-
-        def compare(group: list[tuple]) -> list[tuple]:
-            asks = np.array([r[2] for r in group])
-            ids, comp, main, part = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(r[7] for r in group), "<u4").reshape(len(group), -1)
-            here, out = np.flatnonzero(~asks), []
-            for q in np.flatnonzero(asks):
+        dealt = own.unionByName(asking).join(sig, "id").select("key", "block", "asks", "id", "component", "main", "home", "part", "sig")
+        dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+        batch_size, fewest, size, percent, bands, width = self.batch, self.fewest, self.size, self.percent, self.bands, self.rows
+
+        def candidates(it):
+            """(home, part, asking id, ids there) of each block that an asking row has candidates in."""
+            last = None
+            for group, row in _asked(it, 2, 2):
+                if group is not last:
+                    last = group
+                    ids, comp, home, part = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 6, 7))
+                    sigs = np.frombuffer(b"".join(r[8] for r in group), "<u4").reshape(len(group), -1)
+                if not group:
+                    continue
+                mine = np.frombuffer(row[8], "<u4")
                 # Two documents outside the main component both ask; the larger id asks for the pair.
-                them = here[(comp[here] != comp[q]) & ((comp[here] == main[here]) | (ids[here] < ids[q]))]
-                them = them[plausible(np.broadcast_to(sig[q], (len(them), sig.shape[1])), sig[them], batch_size, fewest)]
+                them = np.flatnonzero((comp != row[4]) & ((comp == row[5]) | (ids < row[3])))
+                # A pair that shares several bands is compared in the bucket of the first one.
+                first = (sigs[them] == mine).reshape(len(them), bands, width).all(axis=2).argmax(axis=1)
+                them = them[band_keys(mine, bands, width)[0][first] == row[0]]
+                them = them[plausible(np.broadcast_to(mine, (len(them), len(mine))), sigs[them], batch_size, fewest)]
                 where: dict[tuple, list] = {}
                 for m in them.tolist():
-                    where.setdefault((int(comp[m]), int(part[m])), []).append(int(ids[m]))
-                out += [(c, p, int(ids[q]), who) for (c, p), who in where.items()]
-            return out
+                    where.setdefault((int(home[m]), int(part[m])), []).append(int(ids[m]))
+                for (h, p), who in where.items():
+                    yield h, p, row[3], who
 
         def find(it):
-            for group in _groups(it, 2):
-                found = compare(group)
-                if found:
-                    c, p, q, who = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.int32()), pa.array(q, pa.int64()),
-                                                      pa.array(who, pa.list_(pa.int64()))], names=["component", "part", "id", "who"])
-
-        found = dealt.mapInArrow(find, "component long, part int, id long, who array<long>")
-        # At most block_rows ids a list, and a list from each band.
-        open_ = staged(found.groupBy("component", "part", "id").agg(F.array_distinct(F.flatten(F.collect_list("who"))).alias("who")), "open")
-        held = placed.join(open_.select("component", "part").distinct(), ["component", "part"], "left_semi").select("component", "part", "id", F.lit(None).cast("array<long>").alias("who"))
-        meet = held.unionByName(open_).join(texts, "id").select("component", "part", F.col("who").isNotNull().alias("asks"), "id", "who", "text")
-        meet = meet.repartition(spread, "component", "part").sortWithinPartitions("component", "part", "asks")
+            out = []
+
+            def batch():
+                h, p, q, who = zip(*out)
+                out.clear()
+                return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.int32()), pa.array(q, pa.int64()),
+                                                   pa.array(who, pa.list_(pa.int64()))], names=["home", "part", "id", "who"])
+
+            for found in candidates(it):
+                out.append(found)
+                if len(out) == 4096:
+                    yield batch()
+            if out:
+                yield batch()
+
+        found = dealt.mapInArrow(find, "home long, part int, id long, who array<long>")
+        # At most the ids of one block a list, each of them once: a pair comes from one band.
+        open_ = staged(found.groupBy("home", "part", "id").agg(F.flatten(F.collect_list("who")).alias("who")), "open")
+        held = placed.join(open_.select("home", "part").distinct(), ["home", "part"], "left_semi").select(
+            "home", "part", "id", "component", F.lit(None).cast("array<long>").alias("who"))
+        asked = open_.select("home", "part", "id", F.lit(None).cast("long").alias("component"), "who")
+        meet = held.unionByName(asked).join(texts, "id").select("home", "part", F.col("who").isNotNull().alias("asks"), "id", "component", "who", "text")
+        meet = meet.repartition("home", "part").sortWithinPartitions("home", "part", "asks")
 
         def confirm(it):
-            for group in _groups(it, 2):
-                sets: dict[int, set] = {}
-                text = {r[3]: r[5] for r in group if not r[2]}
-                links = []
-                for r in group:
-                    if r[2]:
-                        mine = shingle_set(r[5], size)
-                        for m in r[4]:
-                            other = sets.get(m)
-                            if other is None:
-                                other = sets[m] = shingle_set(text[m], size)
-                            if similar(mine, other, percent):
-                                links.append((m, r[3]))
-                                break
+            last = None
+            for group, row in _asked(it, 2, 2):
+                if group is not last:
+                    last = group
+                    texts_of: dict[int, list] = {}
+                    comp = {r[3]: r[4] for r in group}
+                    for r in group:
+                        texts_of.setdefault(r[3], []).append(r[6])  # an id may have several texts
+                    sets: dict[int, list] = {}
+                mine, linked, links = shingle_set(row[6], size), set(), []
+                for m in row[5]:
+                    if comp[m] in linked:
+                        continue  # one link ties all of a component
+                    if m not in sets:
+                        sets[m] = [shingle_set(t, size) for t in texts_of[m]]
+                    if any(similar(mine, other, percent) for other in sets[m] if mine and other):
+                        linked.add(comp[m])
+                        links.append((m, row[3]))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
