@@ -180,6 +180,23 @@ def load_calendar(spark: SparkSession, path: str) -> CalendarDims:
     return CalendarDims(rules, holidays, instruments, settings)
 
 
+def write_calendar(spark: SparkSession, calendar: Calendar, path: str, days: DataFrame | None = None) -> None:
+    """``calendar`` as the file that ``load_calendar`` reads; with ``days``, only the holidays among them are written."""
+    holidays = spark.createDataFrame([(d,) for d in calendar.holidays], "date date")
+    if days is not None:
+        holidays = holidays.join(days.select(F.col("day").alias("date")).distinct(), "date", "left_semi")
+    rules = spark.createDataFrame([(r.cls, r.effective_from, list(r.days), r.pre_open, r.open, r.close, r.verified) for r in calendar.rules],
+                                  "class string, effective_from date, days array<string>, pre_open string, open string, close string, verified boolean")
+    rule = F.struct(F.date_format("effective_from", "yyyy-MM-dd").alias("effective_from"), "days", "pre_open", "open", "close", "verified")
+    per_class = rules.groupBy("class").agg(F.struct(F.collect_list(rule).alias("rules")).alias("c"))
+    classes = per_class.agg(F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("classes"))
+    free = holidays.agg(F.collect_list(F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), F.lit("").alias("name"), F.lit(True).alias("verified"))).alias("holidays"))
+    # one row each: a calendar is a handful of rules
+    out = classes.withColumn("one", F.lit(1)).join(free.withColumn("one", F.lit(1)), "one").select(
+        F.lit(calendar.default_class).alias("default_class"), "classes", "holidays")
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
 def with_class(df: DataFrame, instruments: DataFrame, default_class: str = UNKNOWN) -> DataFrame:
     """Instrument -> class; unmapped instruments get the default."""
     dim = instruments.select("ins_code", F.col("class").alias("_mapped"))

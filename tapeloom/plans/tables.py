@@ -69,10 +69,16 @@ def register(r: Registry) -> None:
 
     def undecodable(t: Market) -> DataFrame:
         bad = recordings.decode_snapshots(recorded(t))[1].filter(F.col("seq").isNotNull())
-        return recordings.undecodable_issues(bad, F.timestamp_seconds(1_704_067_200 + F.col("seq"))).withColumn(
-            "seq", F.when(F.col("detail") != "not a JSON object", F.col("seq")))
-
-    add("undecodable_issues", undecodable, tape_sql.SNAP_BASE, None)
+        issues = recordings.undecodable_issues(bad, F.timestamp_seconds(1_704_067_200 + F.col("seq")))
+        # what is no JSON has no recorded number: its place in the file counts, and with it the time here
+        known = F.col("detail") != "not a JSON object"
+        return issues.withColumns({"seq": F.when(known, F.col("seq")), "at": F.when(known, F.col("at"))})
+
+    add("undecodable_issues", undecodable, tape_sql.SNAP_BASE, """SELECT CASE WHEN seq % 79 <> 0 THEN seq END AS seq,
+  CASE WHEN seq % 79 = 0 OR seq % 3 = 0 THEN '' ELSE ins_code END AS ins_code, 'UNDECODABLE' AS code,
+  CASE WHEN seq % 79 = 0 THEN 'not a JSON object' WHEN seq % 73 = 0 AND volume IS NOT NULL THEN 'wrong type' ELSE 'empty ins_code' END AS detail,
+  CASE WHEN seq % 79 <> 0 THEN make_timestamp((1704067200 + seq) * 1000000) END AS "at"
+FROM snaps WHERE seq % 71 = 0 OR seq % 79 = 0 OR (seq % 73 = 0 AND volume IS NOT NULL)""")
     add("undecodable_by_reason", lambda t: undecodable(t).groupBy("code", "detail").agg(F.count(F.lit(1)).alias("n")), tape_sql.SNAP_BASE,
         """SELECT 'UNDECODABLE' AS code, CASE WHEN seq % 79 = 0 AND seq % 3 <> 0 THEN 'not a JSON object' WHEN seq % 79 = 0 THEN 'not a JSON object'
   WHEN seq % 73 = 0 THEN 'wrong type' ELSE 'empty ins_code' END AS detail, count(*) AS n FROM snaps WHERE seq % 71 = 0 OR seq % 73 = 0 OR seq % 79 = 0 GROUP BY ALL""")
@@ -119,6 +125,30 @@ QUALIFY row_number() OVER (PARTITION BY ins_code, source_time, source ORDER BY i
   UNION ALL SELECT 'quality.' || ins_code FROM issues
   UNION ALL SELECT 'flow.event.' || ins_code FROM sides WHERE band IN ('hot', 'hot_plus') OR (band IS NULL AND value >= {tape_sql.P['hot']})) GROUP BY subject""")
 
+    def messages(t: Market) -> DataFrame:
+        """What the subjects carry: outputs written as messages, read back as a subscriber reads them."""
+        kinds = {"day_totals": (flow.running_day_totals(t.accepted, t.p), "net_hot", "volume"), "windows": (flow.running_10m(t.accepted, t.p), "net_hot", "price_last"),
+                 "events": (events(t), "value", "participants"), "issues": (t.issues, "seq", "seq"), "signals": (t.signals, "seq", "seq")}
+        path, out = _path(t, "messages"), None
+        for kind, (df, *_) in kinds.items():
+            sinks.write_envelopes(df, kind, f"{path}/{kind}")
+        for kind, (_, first, second) in kinds.items():
+            lines = t.spark.read.text(f"{path}/{kind}").select(F.lit(None).cast("bigint").alias("seq"), "value")
+            field = lambda name, type_="bigint": F.variant_get("message", f"$.{name}", type_)
+            texts = F.concat_ws("/", field("code", "string"), field("kind", "string"), field("detail", "string"), field("reason", "string"))
+            rows = recordings.envelopes(lines).select("subject", field("seq").alias("seq"), field(first).alias("first"), field(second).alias("second"), texts.alias("texts"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    add("outgoing_messages", messages, [*tape_sql.FLOW, tape_sql.GAMES, tape_sql.WINDOWS, tape.ISSUES, tape.divergence_sql(), tape.radar_sql()], f"""SELECT subject, seq, first, second, texts FROM (
+  SELECT 'flow.game.' || ins_code AS subject, seq, net_hot AS first, volume AS second, '' AS texts FROM gamerun
+  UNION ALL SELECT 'flow.10m.' || ins_code, seq, net_hot, price_last, '' FROM tenrun
+  UNION ALL SELECT 'flow.event.' || ins_code, seq, value, participants, '' FROM sides WHERE band IN ('hot', 'hot_plus') OR (band IS NULL AND value >= {tape_sql.P['hot']})
+  UNION ALL SELECT 'quality.' || ins_code, seq, seq, seq, code || '/' || detail FROM issues
+  UNION ALL SELECT 'ai.signal.' || ins_code, seq, seq, seq, kind || '/' || reason FROM divergences
+  UNION ALL SELECT 'ai.signal.' || ins_code, seq, seq, seq, 'anomaly/' || CASE {tape.reason_chain()} END FROM (
+    SELECT *, (value - mean) / sqrt(var) AS z FROM scores WHERE scored AND i > {tape_sql.P['warm_up']} AND var > 0) WHERE abs(z) >= 4.0)""")
+
     def symbols_csv(t: Market) -> DataFrame:
         """The exported symbols table of every day, read back."""
         rows = t.market_rows.withColumn("now", F.max("ing").over(W.partitionBy("day")))

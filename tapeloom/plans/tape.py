@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,6 +16,7 @@ from tapeloom.operators import flow, publish, quality, signals
 from tapeloom.plans import tape_sql as q
 from tapeloom.plans.inputs import Rehearsed, Tape
 from tapeloom.plans.registry import Registry
+from tapeloom.runtime import shared_dir
 from tapeloom.sources import bindings
 
 _LEVELS = ["net_hot", "net_hot_plus", "net_retail", "net_unattributed"]
@@ -113,6 +115,13 @@ ruled AS (
   WHERE age = 1 AND x.day NOT IN ({q.HOLIDAYS}))"""
     add("class_sessions", lambda t: cal.sessions(_days(t), t.calendar), [q.SNAPS, rule_join],
         "SELECT class, day, pre_open, open, close, verified FROM ruled")
+    def from_file(t: Tape) -> DataFrame:
+        """Sessions of the days of the tape by a calendar that went through its file."""
+        path = f"{shared_dir(t.spark)}/calendar-{uuid.uuid4().hex}"
+        cal.write_calendar(t.spark, t.calendar, path, _days(t).filter("day IS NOT NULL"))
+        return cal.sessions(_days(t), cal.load_calendar(t.spark, path).calendar())
+
+    add("loaded_calendar_sessions", from_file, [q.SNAPS, rule_join], "SELECT class, day, pre_open, open, close, verified FROM ruled")
     add("union_sessions", lambda t: cal.union_session(_days(t), t.calendar), [q.SNAPS, rule_join],
         """SELECT 'unknown' AS class, day, min(pre_open) AS pre_open, min(open) AS open, max(close) AS close, bool_and(verified) AS verified
 FROM ruled GROUP BY day""")
@@ -287,6 +296,12 @@ divergences AS (
   FROM hits WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ins_code, window_start ORDER BY seq) = 1)"""
 
 
+def reason_chain() -> str:
+    """WHEN parts that choose the text of an anomaly by its feature and the sign of z."""
+    signs = {("value_rate", True): "z >= 0", ("value_rate", False): "z < 0", ("net_ind_rate", True): "z > 0", ("net_ind_rate", False): "z <= 0"}
+    return " ".join(f"WHEN feature = '{f}' AND {signs[f, up]} THEN '{text}'" for (f, up), text in rules.REASONS.items())
+
+
 def radar_sql() -> str:
     """The baseline as a row-by-row fold per instrument."""
     p = q.P
@@ -337,11 +352,7 @@ def _signals(add) -> None:
         loose = replace(t.p, z_threshold=1.0)
         return signals.anomalies(flow.intervals(t.accepted), t.calendar, loose).select("seq", "ins_code", "feature", "reason")
 
-    from tapeloom.functions.rules import REASONS
-
-    chain = " ".join(f"WHEN feature = '{f}' AND {'z >= 0' if up and f == 'value_rate' else 'z < 0' if f == 'value_rate' else 'z > 0' if up else 'z <= 0'} THEN '{text}'"
-                     for (f, up), text in REASONS.items())
-    add("anomaly_reasons", reasons, [*q.ENGINE, radar_sql()], f"""SELECT seq, ins_code, feature, CASE {chain} END AS reason FROM (
+    add("anomaly_reasons", reasons, [*q.ENGINE, radar_sql()], f"""SELECT seq, ins_code, feature, CASE {reason_chain()} END AS reason FROM (
   SELECT *, (value - mean) / sqrt(var) AS z FROM scores WHERE scored AND i > {q.P['warm_up']} AND var > 0) WHERE abs(z) >= 1.0""")
     add("radar_anomalies", anomalies, [*q.ENGINE, radar_sql()],
         f"""SELECT seq, ins_code, feature, round((value - mean) / sqrt(var), 2) AS z, round(value, 2) AS value, round(mean, 0) AS mean, "at" FROM scores

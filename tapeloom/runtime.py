@@ -14,8 +14,9 @@ _made: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All instants are UTC; every time rule converts to Tehran explicitly."""
+    """All instants are UTC; every time rule converts to Tehran explicitly. Of repeated keys of a JSON object the last counts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

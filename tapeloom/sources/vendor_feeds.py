@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.text import elements, num, text, tokens, whole_decimal
+from tapeloom.runtime import prepare
 
 # Canonical field -> vendor key, in the order fields are listed as missing.
 FEED_A = {
@@ -28,7 +29,7 @@ NO_LIMIT = 999_999_999
 
 def _elements(payloads: DataFrame) -> DataFrame:
     """(payload, ...) -> one row per element of each JSON array: its position and value. The last of repeated keys counts."""
-    payloads.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    prepare(payloads.sparkSession)
     others = [c for c in payloads.columns if c != "payload"]
     return payloads.select(*others, F.posexplode(elements(F.col("payload"))).alias("row", "element")).withColumn("row", F.col("row").cast("bigint"))
 
@@ -44,7 +45,7 @@ def payload_rows(payloads: DataFrame) -> DataFrame:
 
 
 def bad_payloads(payloads: DataFrame) -> DataFrame:
-    payloads.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    prepare(payloads.sparkSession)
     return payloads.filter(elements(F.col("payload")).isNull())
 
 

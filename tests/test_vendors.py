@@ -141,3 +141,31 @@ def test_admission(spark, bad, reason):
     kept = rows.collect()
     assert [r.seq for r in kept] == [2] and kept[0].ind_sell_count is None and kept[0].trade_count == 0
     assert quarantine.first().error.startswith(reason)
+
+
+@pytest.mark.parametrize("text, good", [
+    ("2026-09-23T09:00:00+03:30", True), ("2026-09-23T05:30:00Z", True), ("2026-09-23T05:30:00.123456789Z", True), ("2026-09-23 05:30:00Z", False),
+    ("2026-09-23", False), ("2026-09-23T05:30:00", False), ("2026-09-23T05:30Z", False), ("2026-09-23t05:30:00z", False), ("2026-02-30T05:30:00Z", False),
+    ("2026-09-23T05:30:00 Asia/Tehran", False), ("2026-9-23T05:30:00Z", False), ("2026-09-23T25:30:00Z", False), ("", False)])
+def test_instants_are_rfc3339(spark, text, good):
+    from tapeloom.sources import recordings
+
+    flow = '"price_last":1,"volume":1,"value":1,"ind_buy_vol":1,"ind_sell_vol":1,"ind_buy_count":1,"ind_sell_count":1'
+    raw = spark.createDataFrame([(1, None, f'{{"ins_code":"A","source_time":"{text}",{flow}}}'),
+                                 (2, None, f'{{"ins_code":"A","ingest_time":"{text}","source_time":"2026-09-23T05:30:00Z",{flow}}}')], "seq long, subject string, payload string")
+    rows, quarantine = recordings.decode_snapshots(raw)
+    assert rows.count() == (2 if good else 0)
+    assert [r.error for r in quarantine.collect()] == ([] if good else ["wrong type"] * 2)
+
+
+def test_last_of_repeated_keys_and_null_data(spark):
+    """As in a decoder that fills one record: the last of repeated keys counts; an envelope around null is no bare snapshot."""
+    from tapeloom.sources import recordings
+
+    flow = '"price_last":1,"volume":1,"value":1,"ind_buy_vol":1,"ind_sell_vol":1,"ind_buy_count":1,"ind_sell_count":1'
+    body = f'{{"ins_code":"B","ins_code":"A","source_time":"2026-09-23T05:30:00Z",{flow},"volume":7,"other":{{"volume":"x","a":[{{}}]}}}}'
+    lines = spark.createDataFrame([(5, body), (6, f'{{"seq":60,"subject":"md.snap.A","data":{body}}}'), (7, '{"subject":"md.snap.A","data":null}'), (8, "  "), (9, "{")],
+                                  "seq long, value string")
+    rows, quarantine = recordings.decode_snapshots(recordings.envelopes(lines))
+    assert sorted((r.seq, r.ins_code, r.volume) for r in rows.collect()) == [(5, "A", 7), (60, "A", 7)]
+    assert sorted((r.seq, r.error) for r in quarantine.collect()) == [(7, "not a JSON object"), (9, "not a JSON object")]
