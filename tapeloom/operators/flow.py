@@ -112,25 +112,37 @@ def day_totals(accepted: DataFrame, p: Params = DEFAULT) -> DataFrame:
     first re-baseline, the first one with a volume, and the last one that moved the volume.
     """
     rows = with_nets(baselines_and_later(accepted), p)
-    seen = F.struct("seq", "source_time", "volume")
     rebase = F.col("outcome") == "rebaseline"
-    agg = rows.groupBy("ins_code", "day").agg(
-        F.max("class").alias("class"), F.max("symbol").alias("symbol"),
-        *[F.sum(n).alias(n) for n in NETS],
-        F.max("late").alias("late"),
-        F.max(F.when(traded(), seen)).alias("trade"), F.min(F.when(traded(), F.col("seq"))).alias("first_trade"),
-        F.min(F.when(rebase, seen)).alias("rb"),
-        F.min(F.when(rebase & (F.col("volume") != 0), seen)).alias("rb_volume"),
-        F.max(F.when(rebase & (F.col("volume") != F.col("prev.volume")), seen)).alias("rb_moved"))
+    # Only numbers in the buffers, so that rows are hashed and combined as they come: each case keeps its seq, and time and volume there.
+    cases = {"trade": (traded(), F.max, F.max_by), "rb": (rebase, F.min, F.min_by), "rb_volume": (rebase & (F.col("volume") != 0), F.min, F.min_by),
+             "rb_moved": (rebase & (F.col("volume") != F.col("prev.volume")), F.max, F.max_by)}
+    kept = [c for name, (cond, pick, pick_by) in cases.items() for at in [F.when(cond, F.col("seq"))]
+            for c in (pick(at).alias(f"{name}_seq"), pick_by("source_time", at).alias(f"{name}_time"), pick_by("volume", at).alias(f"{name}_volume"))]
+    # A new symbol of an instrument makes a second row here, of few, which the next step brings together.
+    named = rows.groupBy("ins_code", "day", "class", "symbol").agg(
+        *[F.sum(n).alias(n) for n in NETS], F.max("late").alias("late"), F.max("seq").alias("seq"), F.min(F.when(traded(), F.col("seq"))).alias("first_trade"), *kept)
+
+    def again(name: str, pick, pick_by) -> list[Column]:
+        at = F.col(f"{name}_seq")
+        return [pick(at).alias(f"{name}_seq"), pick_by(f"{name}_time", at).alias(f"{name}_time"), pick_by(f"{name}_volume", at).alias(f"{name}_volume")]
+
+    agg = named.groupBy("ins_code", "day").agg(
+        F.max_by("class", "seq").alias("class"), F.max_by("symbol", "seq").alias("symbol"), *[F.sum(n).alias(n) for n in NETS], F.max("late").alias("late"),
+        F.min("first_trade").alias("first_trade"), *[c for name, (_, pick, pick_by) in cases.items() for c in again(name, pick, pick_by)])
+
+    def case(name: str) -> Column:
+        return F.when(F.col(f"{name}_seq").isNotNull(), F.struct(
+            F.col(f"{name}_seq").alias("seq"), F.col(f"{name}_time").alias("source_time"), F.col(f"{name}_volume").alias("volume")))
+
     late = F.col("late")
-    first = F.least("first_trade", F.when(late, F.col("rb_volume.seq")).otherwise(F.col("rb.seq")))
+    first = F.least("first_trade", F.when(late, F.col("rb_volume_seq")).otherwise(F.col("rb_seq")))
     agg = agg.withColumn("first", first)
     last = F.greatest(
-        F.col("trade"), F.when(F.col("rb_moved.seq") > F.col("first"), F.col("rb_moved")), F.when(~late, F.col("rb")),
-        F.when(late & (F.col("rb_volume.seq") == F.col("first")), F.col("rb_volume")))
+        case("trade"), F.when(F.col("rb_moved_seq") > F.col("first"), case("rb_moved")), F.when(~late, case("rb")),
+        F.when(late & (F.col("rb_volume_seq") == F.col("first")), case("rb_volume")))
     return agg.withColumn("last", last).filter(F.col("last").isNotNull()).select(
         "ins_code", "symbol", "class", "day", F.col("last.seq").alias("seq"), F.col("last.source_time").alias("as_of"),
-        F.col("last.volume").alias("volume"), *NETS, (late | F.col("rb").isNotNull()).alias("partial"))
+        F.col("last.volume").alias("volume"), *NETS, (late | F.col("rb_seq").isNotNull()).alias("partial"))
 
 
 def day_progress(accepted: DataFrame, p: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
@@ -199,17 +211,15 @@ def _window_rows(accepted: DataFrame, p: Params) -> DataFrame:
 
 
 def ten_minutes(accepted: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Last state of every 10-minute window (one combinable aggregation)."""
-    usable = F.col("usable")
-    first = F.min(F.when(usable, F.struct("seq", "price_before", "gap"))).alias("first")
-    last = F.max(F.when(usable, F.struct("seq", "price_last", "source_time"))).alias("last")
-    agg = _window_rows(accepted, p).groupBy("ins_code", "day", "window_start").agg(
-        F.max("class").alias("class"), F.sum(F.when(usable, F.col("net_hot"))).alias("net_hot"), first, last,
-        F.min(F.when(~usable, F.col("seq"))).alias("broken"))
+    """Last state of every 10-minute window (one combinable aggregation). An instrument has one class."""
+    usable = F.when(F.col("usable"), F.col("seq"))
+    agg = _window_rows(accepted, p).groupBy("ins_code", "day", "class", "window_start").agg(
+        F.sum(F.when(F.col("usable"), F.col("net_hot"))).alias("net_hot"), F.min(usable).alias("first"), F.min_by("price_before", usable).alias("price_open"),
+        F.min_by("gap", usable).alias("gap"), F.max(usable).alias("last"), F.max_by("price_last", usable).alias("price_last"),
+        F.max_by("source_time", usable).alias("updated_at"), F.min(F.when(~F.col("usable"), F.col("seq"))).alias("broken"))
     return agg.filter(F.col("first").isNotNull()).select(
-        "ins_code", "class", "day", "window_start", "net_hot", F.col("first.price_before").alias("price_open"),
-        F.col("last.price_last").alias("price_last"), F.col("last.source_time").alias("updated_at"),
-        (F.col("first.gap") | F.coalesce(F.col("broken") < F.col("last.seq"), F.lit(False))).alias("partial"))
+        "ins_code", "class", "day", "window_start", "net_hot", "price_open", "price_last", "updated_at",
+        (F.col("gap") | F.coalesce(F.col("broken") < F.col("last"), F.lit(False))).alias("partial"))
 
 
 def window_progress(accepted: DataFrame, p: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
