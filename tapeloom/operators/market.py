@@ -6,6 +6,8 @@ it into a zero. Everything is computed for every trading day of the input at onc
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +87,36 @@ def dashboard_reference(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.col("kept.trade_count").alias("ref_trades"))
 
 
+REFERENCE_STATE = "ins_code string, seen_day date, volume bigint, value bigint, trade_count bigint"
+
+
+def carry_reference(state: DataFrame, rows: DataFrame, day: date, ended_before: date | None, p: Params = DEFAULT) -> DataFrame:
+    """What instruments hand on after ``day``: the step of ``dashboard_reference`` from one day with data to the next.
+
+    ``state`` (see ``REFERENCE_STATE``) is what they handed on before; ``rows`` are the snapshots of the day, ``ended_before`` the day with data before it.
+    """
+    last = latest_snapshots(rows).filter(_complete()).select("ins_code", "volume", "value", "trade_count")
+    old = state.select("ins_code", F.struct("seen_day", "volume", "value", "trade_count").alias("old"))
+    both = last.withColumn("new", F.struct("volume", "value", "trade_count")).select("ins_code", "new").join(old, "ins_code", "full")
+    ended = F.lit(ended_before).cast("date")
+    dropped = F.coalesce((F.col("old.seen_day") != ended) & (F.datediff(ended, F.col("old.seen_day")) > p.keep_days), F.lit(False))
+
+    def active(side: str) -> Column:
+        return F.coalesce(rules.totals_active(F.col(f"{side}.volume"), F.col(f"{side}.value"), F.col(f"{side}.trade_count")), F.lit(False))
+
+    held = F.struct("old.volume", "old.value", "old.trade_count")
+    kept = F.when(F.col("new").isNull() | (~active("new") & ~dropped & active("old")), held).otherwise(F.col("new"))
+    seen = F.when(F.col("new").isNull(), F.col("old.seen_day")).otherwise(F.lit(day))
+    return both.select("ins_code", seen.alias("seen_day"), kept.alias("k")).select("ins_code", "seen_day", "k.*")
+
+
+def reference_after(state: DataFrame, day: date, ref_day: date | None, p: Params = DEFAULT) -> DataFrame:
+    """The reference of ``day``, given what was handed on by the last day with data, ``ref_day``."""
+    fresh = F.datediff(F.lit(ref_day).cast("date"), F.col("seen_day")) <= p.keep_days
+    return state.filter(fresh).select("ins_code", F.lit(day).alias("day"), F.lit(ref_day).cast("date").alias("ref_day"), F.col("volume").alias("ref_volume"),
+                                      F.col("value").alias("ref_value"), F.col("trade_count").alias("ref_trades"))
+
+
 def accepted_rows(rows: DataFrame, reference: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Rows that became the instrument's latest one when they arrived, with the state they were judged in.
 

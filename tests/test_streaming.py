@@ -124,3 +124,25 @@ def test_market_publication(spark, snaps, expected, tmp_path):
                                 flow.day_totals(stage(accept(real, CAL, P), "again"), P), quality.issue_counts(issues), P)
     assert rows(market.market_rows(table).filter(F.col("day") == F.lit(day))) == rows(read("rows", 2))
     assert read("summary", 2).first().instruments == read("rows", 2).count()
+
+
+def test_reference_is_carried_over(spark, snaps, tmp_path):
+    """Day by day, and after days away, the carried reference equals the one computed over all history; a day is read once."""
+    from datetime import timedelta
+
+    from tapeloom import sinks
+    from tapeloom.streaming.market import MarketPublisher
+
+    real = stage(snaps.filter(~rules.is_synthetic(F.col("source"), F.col("ins_code"), F.col("symbol"))), "real")
+    sinks.write_snapshots(real, str(tmp_path / "store"))
+    history = market.of_day(real, CAL)
+    want = market.dashboard_reference(history, P)
+    days = sorted(r["day"] for r in history.select("day").distinct().collect())
+    for name, chosen in (("daily", days[:6] + [days[6] + timedelta(days=1)]), ("away", [days[1], days[9], days[10]])):
+        pub = MarketPublisher(spark, str(tmp_path / name), lambda: sinks.read_snapshots(spark, str(tmp_path / "store")), None, None, CAL, P)
+        for day in chosen:
+            got = pub.reference(day)
+            if day in days:
+                assert rows(got) == rows(want.filter(F.col("day") == F.lit(day)).select(*got.columns)), (name, day)
+    plan = pub._of(days[10], days[10])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
