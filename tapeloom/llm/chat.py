@@ -1,7 +1,8 @@
 """Conversations from reply trees, in DataFrame functions only.
 
 ``best_paths`` enumerates root-to-leaf paths by self-joins that double their reach: after k rounds every node knows its
-ancestor 2^k steps up and the summed score to there, so a thread of any length takes a logarithmic number of joins. Leaves are
+ancestor 2^k steps up and the summed score to there, so a thread of any length takes a logarithmic number of joins. A round writes
+the nodes that had not reached their root before it, each once, and asks one number: how many have not yet. Leaves are
 ranked by the score of their path; the paths of the chosen leaves are read off with the same jumps, largest first.
 
 ``format_paths`` writes one conversation for each chosen path. Control strings inside texts and roles are escaped
@@ -14,6 +15,8 @@ its own. A conversation is one output row, so one of its size must fit into a ta
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,25 +60,30 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = tree.select(F.col("tree").alias("t"), F.col("node").alias("up")).distinct()
     reach = (tree.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("up")), "left")
              .select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
-    jumps = [staged(reach, "jump0")]
-    while not jumps[-1].where("up IS NOT NULL").isEmpty():
-        here = jumps[-1]
-        if len(jumps) > 62 or here.where(F.col("steps") > 1 << (len(jumps) - 1)).count() or \
-                (len(jumps) > 1 and here.where("up IS NOT NULL").count() == jumps[-2].where("up IS NOT NULL").count()):
-            break  # only cycles are left
-        far = here.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("longer"))
-        jumps.append(staged(
-            here.where("up IS NOT NULL").join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
-            .select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("longer")).alias("steps"))
-            .unionByName(here.where("up IS NULL")), f"jump{len(jumps)}"))  # who has reached the root is carried along
-    leaves = jumps[-1].where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
+    # rising[k]: nodes with an ancestor 2^k steps up; rooted: nodes that have reached their root, in the round they did.
+    rising: list[DataFrame] = []
+    rooted: list[DataFrame] = []
+    here, left = staged(reach, "jump0"), -1
+    while True:
+        rooted.append(here.where("up IS NULL"))
+        before, left = left, here.where("up IS NOT NULL").count()
+        if left in (0, before):
+            break  # none left, or none got to a root in this round: only cycles are
+        rising.append(here.where("up IS NOT NULL"))
+        above = reduce(DataFrame.unionByName, [*rooted, rising[-1]]).select(
+            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("steps").alias("longer"))
+        here = staged(rising[-1].join(above.hint("merge"), (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+                      .select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+                              (F.col("steps") + F.col("longer")).alias("steps")), f"jump{len(rising)}")
+    leaves = reduce(DataFrame.unionByName, rooted).join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))
     paths = leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", "branch", "node", (F.col("steps") - 1).alias("depth"))
-    for k in range(len(jumps) - 1, -1, -1):
-        jump = jumps[k].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        above = (paths.join(jump, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
+    paths = staged(paths, "leaves")
+    for k in range(len(rising) - 1, -1, -1):
+        jump = rising[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        above = (paths.join(jump.hint("merge"), (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
                  .select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
-        paths = staged(paths.unionByName(above), "paths") if k % 3 == 0 else paths.unionByName(above)
+        paths = staged(paths.unionByName(above), "paths")
     return paths.select(F.col("tree.conv_id").alias("conv_id"), "branch", "depth", "node")
 
 
