@@ -361,11 +361,18 @@ def _with_runs(docs: DataFrame, length: int, text_col: str, extra: list[str], **
     return keyed.join(found, ["k1", "k2"], "left").select(*extra, "_text", F.coalesce("copies", F.lit(1)).alias("_copies"), "spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text_col``; characters that are only partly covered stay."""
-    others = [c for c in docs.columns if c != text_col]
-    rows = _with_runs(docs, length, text_col, others, **options)
-    return _without(docs, rows, text_col, lambda data, copies, spans: removals(data, copies, spans, length))
+def _numbered(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with its columns named by number, whatever they are called, and the names of text and id."""
+    names = [f"column{i}" for i in range(len(docs.columns))]
+    name_of = dict(zip(docs.columns, names))
+    return docs.toDF(*names), name_of[text_col], name_of[id_col]
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text_col``; characters that are only partly covered stay. Other columns stay as they are."""
+    plain, text, key = _numbered(docs, text_col, id_col)
+    rows = _with_runs(plain, length, text, [c for c in plain.columns if c != text], id_col=key, **options)
+    return _without(plain, rows, text, lambda data, copies, spans: removals(data, copies, spans, length)).toDF(*docs.columns)
 
 
 def _without(docs: DataFrame, rows: DataFrame, text_col: str, runs_of) -> DataFrame:
@@ -460,12 +467,17 @@ def _passages(run: Repeats, found: DataFrame, words: int, length: int) -> DataFr
     return by_words.unionByName(by_bytes)
 
 
-def remove_passages(docs: DataFrame, words: int = 50, length: int = 400, text_col: str = "text", gram: int = 32, **options) -> DataFrame:
-    """``docs`` without repeated strings of ``length`` bytes or more and without repeated passages of more than ``words`` whole words."""
+def remove_passages(docs: DataFrame, words: int = 50, length: int = 400, text_col: str = "text", gram: int = 32, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without repeated strings of ``length`` bytes or more and without repeated passages of more than ``words`` whole words.
+
+    Other columns stay as they are, whatever their names.
+    """
+    names = docs.columns
+    docs, text_col, id_col = _numbered(docs, text_col, id_col)
     shortest = 2 * words + 1
     if length < shortest:
         raise ValueError("length must be at least 2 words + 1")
-    run = Repeats(docs, shortest, min(gram, shortest), text_col=text_col, **options)
+    run = Repeats(docs, shortest, min(gram, shortest), id_col=id_col, text_col=text_col, **options)
     found = staged(run.covered(), "covered-short")
     by_text = staged(_passages(run, found, words, length).groupBy("k1", "k2").agg(_merged().alias("spans")), "passages")
     runs = found.select("k1", "k2", "copies").join(by_text, ["k1", "k2"], "left")
@@ -478,7 +490,7 @@ def remove_passages(docs: DataFrame, words: int = 50, length: int = 400, text_co
             return [(0, len(data))]
         return [(s["start"], s["stop"]) for s in spans or []]
 
-    return _without(docs, rows, text_col, runs_of)
+    return _without(docs, rows, text_col, runs_of).toDF(*names)
 
 
 def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

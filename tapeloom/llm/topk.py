@@ -7,7 +7,8 @@ best score found; equal bounds go on, because a tie may have a smaller id. The k
 
 Work is shards x query blocks; each pair is one group of bounded size. Vectors that are null or hold null or non-finite
 components take no part, nor do rows without an id; shorter vectors count as padded with zeros. A query is not compared
-with rows of its own id.
+with rows of its own id. Query rows that repeat an id with the same vector are one query; with different vectors they are queries of
+their own, each with its ranks.
 """
 
 from __future__ import annotations
@@ -95,18 +96,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     rows = staged(ready.repartitionByRange(shards, "id").select("id", "v", F.spark_partition_id().alias("shard")), "shards")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = rows.withColumn("part", each(parts))
-    right = (ready.where("q").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).withColumn("shard", each(shards)))
+    # Queries are numbered once, so that every shard means the same one.
+    asked = staged(ready.where("q").select("id", "v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    right = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("shard", each(shards))
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
         rows = rows.sort_values("id", kind="stable")
-        queries = queries.drop_duplicates("id")
         width = max(rows["v"].map(len).max(), queries["v"].map(len).max())
         ids, query_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
         i, found, score = block_search(ids, _matrix(rows["v"], width), query_ids, _matrix(queries["v"], width), k, block_rows)
-        return pd.DataFrame({"query_id": query_ids[i], "vec_id": found, "score": score})
+        return pd.DataFrame({"query": queries["query"].to_numpy()[i], "query_id": query_ids[i], "vec_id": found, "score": score})
 
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

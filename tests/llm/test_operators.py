@@ -240,6 +240,14 @@ def test_top_k(spark):
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=64, block_rows=16, query_rows=3)
     assert {tuple(r) for r in got.collect()} == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+    # Two vectors of one id are two queries; each shard must mean the same ones.
+    other = [-x for x in rows[50][1]]
+    two = topk.top_k(df.unionByName(spark.createDataFrame([(50, other)], df.schema)), F.col("vec_id") == 50, 5, shard_rows=64, block_rows=16, query_rows=3)
+    both = Counter()
+    for v in (good[50], np.floor(256 * np.array(other, np.float32).astype(float)).astype(int)):
+        best = sorted((-int(v @ w), i) for i, w in good.items() if i != 50 for _ in range(counts[i]))[:5]
+        both.update((50, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert as_bag(two) == both
 
 
 def test_packing(edge_docs, docs):
@@ -438,3 +446,23 @@ def test_pipeline_stages(spark, sf_dir, docs):
     texts = [r["text"] for r in rows.collect()]
     assert not any(secrets.base_spans(t) for t in texts)
     assert after.select("doc_id").distinct().count() == len(texts)
+
+
+def test_clashing_columns_of_stages(spark, sf_dir, docs):
+    """Columns named like those that operators make themselves come through the stages unchanged."""
+    import corpus_pipeline
+
+    names = ["k1", "k2", "spans", "copies", "_text", "_copies", "n_words", "n_lines", "kept", "base_failed", "_print", "print", "document", "id", "sig", "component"]
+    some = docs.limit(60)
+    for k, name in enumerate(names):
+        some = some.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")))
+    some = some.cache()
+    want = {r["doc_id"]: tuple(r[n] for n in names) for r in some.collect()}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, some, sf_dir)
+        assert out.columns == some.columns
+        for r in out.collect():
+            assert tuple(r[n] for n in names) == want[r["doc_id"]]
+        assert stage(spark, some.limit(0), sf_dir).count() == 0
+    cut = suffix_repeats.remove_repeats(some, 40, gram=16)
+    assert cut.columns == some.columns and {r["doc_id"]: tuple(r[n] for n in names) for r in cut.collect()} == want
