@@ -76,11 +76,14 @@ _scopes: list[list[str]] = []
 
 
 @contextmanager
-def staged_scope(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables staged inside the block when it ends (a micro-batch has written its results by then)."""
+def staged_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove the tables staged inside the block when it ends (a micro-batch has written its results by then).
+
+    Yields the list of their paths, in order: one that is taken out of it stays until the application ends.
+    """
     _scopes.append([])
     try:
-        yield
+        yield _scopes[-1]
     finally:
         for path in _scopes.pop():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
