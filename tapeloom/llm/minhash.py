@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.components import connected
 from tapeloom.llm.tables import discard, staged
-from tapeloom.runtime import ship
+from tapeloom.runtime import ship, staged_scope
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -338,7 +338,13 @@ class NearDuplicates:
         return meet.mapInArrow(confirm, "a long, b long")
 
     def classes(self) -> DataFrame:
-        """id, n_shingles, component_id and kept of every row."""
+        """id, n_shingles, component_id and kept of every row. All tables on the way there are removed."""
+        with staged_scope(self.docs.sparkSession) as made:
+            out = staged(self._classes(), "near-duplicates")
+            made.pop()  # this one stays
+        return out
+
+    def _classes(self) -> DataFrame:
         every = staged(self.signatures(), "signatures")
         sets = every.where("id IS NOT NULL AND n_shingles > 0")
         same = staged(sets.groupBy("print").agg(F.min("id").alias("first")), "classes")

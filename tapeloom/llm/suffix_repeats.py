@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.tables import staged
-from tapeloom.runtime import ship
+from tapeloom.runtime import ship, staged_scope
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -478,8 +478,11 @@ def remove_passages(docs: DataFrame, words: int = 50, length: int = 400, text_co
     if length < shortest:
         raise ValueError("length must be at least 2 words + 1")
     run = Repeats(docs, shortest, min(gram, shortest), id_col=id_col, text_col=text_col, **options)
-    found = staged(run.covered(), "covered-short")
-    by_text = staged(_passages(run, found, words, length).groupBy("k1", "k2").agg(_merged().alias("spans")), "passages")
+    with staged_scope(docs.sparkSession) as made:  # what the search leaves goes, its two results stay
+        found = staged(run.covered(), "covered-short")
+        made.pop()
+        by_text = staged(_passages(run, found, words, length).groupBy("k1", "k2").agg(_merged().alias("spans")), "passages")
+        made.pop()
     runs = found.select("k1", "k2", "copies").join(by_text, ["k1", "k2"], "left")
     others = [c for c in docs.columns if c != text_col]
     keyed = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *run.keys)
