@@ -85,6 +85,23 @@ def test_word_table():
         assert [list(struct.unpack(f"<{len(p) // 4}I", p)) for p in got] == want
 
 
+def test_words_before_marks_are_learned_once():
+    tok = Tokenizer.from_file(WORD)
+    words = ["house", "größe", "naïveté", "x", "über", "don't", "42", "ﬁne", "größe"]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("([-\"#") * rng.randint(0, 2) + rng.choice(words) + rng.choice(["", ",", ".)", "...", "-a1b", "'s", "7,5%"]) for _ in range(60)) for _ in range(60)]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in (tok.encode(t, add_special_tokens=False).ids for t in texts)]
+    table = WordTable(WORD, 300_000)
+    sent: list[str] = []
+    encode = table.pieces
+    table.pieces = type("Seen", (), {"encode_batch_fast": lambda _, some, **o: sent.extend(x for s in some for x in s.split()) or encode.encode_batch_fast(some, **o)})()
+    assert [p for a in range(0, 60, 7) for p in table.encode(texts[a:a + 7])] == want
+    assert sent.count("house") == 1 and not any(w.startswith("house,") for w in sent)
+    plain = WordTable(WORD, 300_000)
+    plain.ends[:] = False  # as for a vocabulary that does not mark the ends of words
+    assert plain.encode(texts) == want
+
+
 def test_clashing_columns(spark):
     rows = [(k, k % 5, 0, 100 + k, 7, "x", "y") for k in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, group string, _group string")
