@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeloom.llm import chat, hmm, minhash, packing, quality_rules, queries, secrets, suffix_repeats, token_count, topk, trie_bpe
+from tapeloom.llm.tables import staged
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 LONG = "ab cd ef " * 4000
@@ -171,6 +173,18 @@ def test_pipeline_cuts_short_passages(spark):
     assert all(passage not in r["text"] and r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in str(disk.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in f}
+    before = shuffled()
+    made = staged(spark.range(10_000).withColumn("k", F.col("id") % 97).repartition(7, "k").groupBy("k").count(), "counted")
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and made.count() == 97
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_quality_statistics(edge_docs, docs):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
