@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.tables import staged
+from tapeloom.llm.tables import discard, staged
 from tapeloom.runtime import ship
 
 END = b""  # no word is empty
@@ -250,7 +250,9 @@ def coded(docs: DataFrame, head: dict[bytes, int], counts: DataFrame) -> DataFra
     # Numbered once, in the staged table: rows may repeat.
     half = staged(half.withColumn("row", F.monotonically_increasing_id()), "coded")
     words = half.select("row", F.posexplode("words").alias("j", "word")).join(counts, "word", "left").select("row", "j", "wid", F.coalesce("c", F.lit(0)).alias("c"))
-    return staged(half.drop("words").join(_listed(words), "row", "left"), "ready")
+    ready = staged(half.drop("words").join(_listed(words), "row", "left"), "ready")
+    discard(half)
+    return ready
 
 
 def _listed(words: DataFrame) -> DataFrame:
@@ -286,7 +288,10 @@ def train(docs: DataFrame, states: int = 4, symbols: int | None = None, head_wor
     unit = 1 / (total + 0.1 * (distinct + 1))
     share = (np.array(list(head.values()), float) + 0.1) * unit
     # Head words by their rank, all others by numbers beyond it.
-    ready = coded(docs, head, staged(counts.where(F.col("c") < least).select("word", "c", (F.monotonically_increasing_id() + size).alias("wid")), "tail-words"))
+    tail_words = staged(counts.where(F.col("c") < least).select("word", "c", (F.monotonically_increasing_id() + size).alias("wid")), "tail-words")
+    discard(counts)
+    ready = coded(docs, head, tail_words)
+    discard(tail_words)
     # About four times the rows that are needed leave the tasks, whatever the number of tasks.
     bound = int(min(1.0, 8 * seed_texts / max(1, docs.count())) * (1 << 40)) + 1
     seed = ready.where(~F.col("held_out") & (F.col("draw") < bound)).select("draw", "id", "row", "codes", "tail").orderBy("draw", "id", "row").limit(seed_texts).toArrow()
@@ -340,7 +345,8 @@ def train(docs: DataFrame, states: int = 4, symbols: int | None = None, head_wor
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, -1 - np.arange(states + 1)])), *(pa.array(x) for x in np.vstack([heads[some], sums]).T)], names=schema)
 
         found = _with_counts(ready.where("NOT held_out"), table).select("codes", "tail").mapInArrow(run, "wid long, " + ", ".join(f"{c} double" for c in columns))
-        table = staged(found.groupBy("wid").agg(*(F.sum(c).alias(c) for c in columns)), "emissions")
+        earlier, table = table, staged(found.groupBy("wid").agg(*(F.sum(c).alias(c) for c in columns)), "emissions")
+        discard(earlier)
         sums = np.array([x or 0.0 for x in table.where("wid >= 0").agg(*(F.sum(c) for c in columns)).first()])
         small = table.where(F.col("wid") < size).toArrow()
         wid, values = small["wid"].to_numpy(), np.stack([small[c].to_numpy() for c in columns], 1)

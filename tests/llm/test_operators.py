@@ -10,6 +10,7 @@ import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer
 
 from tapeloom.llm import chat, hmm, minhash, packing, quality_rules, queries, secrets, suffix_repeats, token_count, topk, trie_bpe
 from tapeloom.llm.tables import staged
+from tapeloom.runtime import shared_dir
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 LONG = "ab cd ef " * 4000
@@ -340,6 +342,14 @@ def test_scores(edge_docs, docs):
     assert hmm.score(docs.limit(0)).count() == 0
 
 
+def test_training_leaves_only_what_scoring_reads(spark, edge_docs):
+    left = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("llm-*"))
+    before = left()
+    result = hmm.score(edge_docs, head_words=2)
+    assert sorted(p.name.rsplit("-", 1)[0] for p in left() - before) == ["llm-emissions", "llm-ready"]
+    assert result.count() == len(EDGES)
+
+
 def test_secrets(edge_docs, docs):
     net = secrets.train(docs)
     for df in (edge_docs, docs):
