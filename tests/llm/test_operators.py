@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -342,6 +343,62 @@ def test_scores(edge_docs, docs):
     assert hmm.score(docs.limit(0)).count() == 0
 
 
+def test_expected_counts_are_exact():
+    rng = np.random.default_rng(9)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3))
+    texts = [rng.integers(0, 6, n) for n in (1, 5, 64, 65, 130)]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 6))
+    for text in texts:
+        e = model.emit[:, text].T
+        alpha, beta = [model.start * e[0]], [np.ones(3)]
+        for x in e[1:]:
+            alpha.append((alpha[-1] @ model.move) * x)
+        for x in e[:0:-1]:
+            beta.insert(0, model.move @ (x * beta[0]))
+        whole = alpha[-1].sum()
+        start += alpha[0] * beta[0] / whole
+        for t, symbol in enumerate(text):
+            emit[:, symbol] += alpha[t] * beta[t] / whole
+            if t:
+                move += alpha[t - 1][:, None] * model.move * (e[t] * beta[t])[None, :] / whole
+    got = hmm.expected(model, texts)
+    for want, found in zip((start, move, emit), got):
+        np.testing.assert_allclose(found, want, rtol=1e-9)
+
+
+def test_words_of_slices():
+    texts = ["É x\x1cY", "  lead A\tb", "", " ", "Çé É\u00a0Z\x0b\x0cq", "trail \n\r", "ÀÀ ß aB"] * 5
+    for at, stop in ((0, 35), (1, 8), (10, 33), (34, 35), (4, 4)):
+        words, ends = hmm._words(pa.array(texts)[at:stop])
+        want = [hmm.tokens_of(t)[:-1] for t in texts[at:stop]]
+        assert words.to_pylist() == [w for t in want for w in t] and ends.tolist() == np.cumsum([len(t) for t in want]).tolist()
+
+
+def test_scores_by_blocks_and_buckets(spark):
+    # Many rare words: blocks and buckets exchange packed rows, not a row a word, and scores don't depend on how texts and words are dealt.
+    rng = random.Random(23)
+    rows = [(i % 290, " ".join(f"É{int(rng.paretovariate(0.3)) % 4000}" for _ in range(rng.randint(0, 90)))) for i in range(300)] + [(None, "a B"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-emissions*"))
+    found = []
+    for options in ({"block_bytes": 1 << 21}, {"block_bytes": 4000, "bucket_words": 300}, {"block_bytes": 1, "bucket_words": 300}):
+        got = hmm.score(df, head_words=20, **options).collect()
+        found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["score"]) for r in got))
+        if len(found) == 1:
+            (left,) = set(folder.glob("llm-emissions*")) - before
+            assert spark.read.parquet(str(left)).count() <= 10
+    c = Counter(w for i, t in rows if not hmm.is_held_out(i) for w in hmm.tokens_of(t))
+    total, distinct = sum(c.values()), len(c)
+    assert distinct > 1000
+    want = sorted((i is None, i or 0, len(w), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w), 6))
+                  for i, t in rows for w in [hmm.tokens_of(t)])
+    for result in found:
+        assert [r[:5] for r in result] == want
+    # The seed texts' words are shaken in the order of their places, so scores agree where words are dealt alike.
+    np.testing.assert_allclose([r[5] for r in found[1]], [r[5] for r in found[2]], rtol=1e-5)
+
+
 def test_training_leaves_only_what_scoring_reads(spark, edge_docs):
     left = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("llm-*"))
     before = left()
