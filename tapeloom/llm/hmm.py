@@ -323,7 +323,7 @@ def coded(docs: DataFrame, head: dict[bytes, int], counts: DataFrame, buckets: i
     asked = half.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words")
 
     def look(known: pa.Table, asked: pa.Table) -> pa.Table:
-        known = known.sort_by("word")
+        known = known.sort_by("wid")
         place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
         c = np.append(known.column("c").to_numpy(), 0).astype(np.int64)  # place -1: no count
         found = [np.fromiter((place.get(w, -1) for w in words.split(b" ")), np.int32) for words in asked.column("words").to_pylist()]
@@ -413,8 +413,9 @@ def train(docs: DataFrame, states: int = 4, symbols: int | None = None, head_wor
     size = len(head)
     unit = 1 / (total + 0.1 * (distinct + 1))
     share = (np.array(list(head.values()), float) + 0.1) * unit
-    # Head words by their rank, all others by bucket and place there.
-    ready = coded(docs, head, counts.where(F.col("c") < least), 1 + (distinct - size) // bucket_words, block_bytes)
+    # Head words by their rank, all others by bucket and place there, in the order of the staged table.
+    tail_words = counts.where(F.col("c") < least).select("word", "c", F.monotonically_increasing_id().alias("wid"))
+    ready = coded(docs, head, tail_words, 1 + (distinct - size) // bucket_words, block_bytes)
     discard(counts)
     # About four times the rows that are needed leave the tasks, whatever the number of tasks.
     bound = int(min(1.0, 8 * seed_texts / max(1, docs.count())) * (1 << 40)) + 1
