@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -148,6 +149,47 @@ def test_repeats_of_documents(docs):
     assert as_bag(suffix_repeats.digests(docs, 400)) == brute_repeats(texts_of(docs), 400)
 
 
+def test_reaches_of_repeats(monkeypatch):
+    """Reaches equal those over all pairs; every string is compared with its neighbours in the two orders, not once an interval."""
+    rng, length, compared = random.Random(5), 12, []
+    text = lambda least, most: bytes(rng.choice(b"ab") for _ in range(rng.randint(least, most)))
+    made = {(rng.randrange(30), b"aba" + text(9, 9), text(9, 9)) for _ in range(2000)} | {(rng.randrange(30), b"aba" + text(2, 9), text(7, 9)) for _ in range(300)}
+    rows = sorted(r for r in made if len(r[1]) + len(r[2]) >= length)
+    group, right, left = (list(x) for x in zip(*rows))
+    several = [rng.random() < 0.02 for _ in rows]
+    plain = suffix_repeats._Strings.common
+    monkeypatch.setattr(suffix_repeats._Strings, "common", lambda self, i, j: compared.append(len(i)) or plain(self, i, j))
+    to_left, to_right = suffix_repeats.reaches(suffix_repeats._Strings(right), suffix_repeats._Strings(left), np.array(group), np.array(several), length)
+    assert sum(compared) == 2 * (len(rows) - 1)
+    shared = lambda a, b: len(os.path.commonprefix([a, b]))
+    for i, row in enumerate(rows):
+        pairs = [(shared(left[i], l), shared(right[i], r)) for g, r, l in rows if g == group[i] and (g, r, l) != row]
+        pairs = [(len(left[i]), len(right[i]))] if several[i] else [(a, b) for a, b in pairs if a + b >= length]
+        assert (to_left[i], to_right[i]) == (max((a for a, _ in pairs), default=-1), max((b for _, b in pairs), default=-1))
+    assert 100 < np.count_nonzero(to_right < 0) < len(rows) - 100
+
+
+def test_one_span_an_anchor(spark):
+    """Occurrences that share a short string with many and a long one with few have one span each, and k-grams of any size stay whole in a batch."""
+    rng = random.Random(6)
+    new = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    before, after = new(60), new(60)
+    rows = [(i, new(20) + before[-i:] + "#" * 8 + after[:70 - i] + new(20)) for i in range(10, 60)]
+    run = suffix_repeats.Repeats(spark.createDataFrame(rows, "doc_id long, text string"), 30, 8)
+    copies = run.docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    places = run.anchor_rows(copies).groupBy("k1", "k2").count().withColumnRenamed("count", "anchors")
+    spans = run.spans(copies).groupBy("k1", "k2").count()
+    got = spans.join(places, ["k1", "k2"]).collect()
+    assert len(got) == len(rows) and all(r["count"] <= r["anchors"] for r in got)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_bag(suffix_repeats.digests(df, 30, gram=8)) == brute_repeats(texts_of(df), 30)
+    table = pa.table({"gram": sorted(rng.randrange(9) for _ in range(300))})
+    for cut in (1, 7, 300):
+        whole = list(suffix_repeats._whole_grams(iter(table.to_batches(cut)), 40))
+        assert pa.concat_tables(whole).equals(table) and all(t.num_rows >= 40 for t in whole[:-1])
+        assert all(a.column(0)[-1] != b.column(0)[0] for a, b in zip(whole, whole[1:]))
+
+
 def test_repeated_passages(spark):
     rng = random.Random(11)
     new = lambda n, size=4: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
